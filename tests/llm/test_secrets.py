@@ -1,0 +1,56 @@
+import hashlib
+import re
+
+import pytest
+
+from fairlead.llm import secrets as s
+
+from .conftest import texts_of
+
+KEY = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def brute(text):
+    spans = [(m.start(), 0, m.end()) for m in KEY.finditer(text.replace("ſ", "?").replace("K", "?")) if len(m[1]) >= 8]
+    spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(spans)
+
+
+@pytest.fixture(scope="module")
+def model(spark, documents):
+    return s.train(s.labelled_samples(spark, documents))
+
+
+def test_base_spans_match_brute_force(spark, odd, documents, model):
+    texts = ["token:secret: abcdefgh12", "x AKIAAKIA1234567890 AKIA1 api_key = 'A.b-c_d=+/'x", "🙂 PassWord=\"12345678\" " + "a1" * 16 + "g" + "f" * 40, "secret=1234567 secret==12345678", "ſecret=123456789 toKen=123456789", "token=token=token=12345678"]
+    for docs in (odd, documents, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")):
+        want = {}
+        for i, t in texts_of(docs):
+            want.setdefault(i, set()).add(tuple(brute(t)))
+        for r in s.scan(docs, model).collect():
+            assert tuple((x["start"], x["kind"], x["end"]) for x in r["spans"] if x["kind"] < 3) in want[r["doc_id"]]
+
+
+def test_digest(spark, model):
+    r = s.digest(s.scan(spark.createDataFrame([(1, "token=abcdefgh12 " + "0a" * 20)], "doc_id long, text string"), model)).first()
+    assert (r["n_assign"], r["n_access"], r["n_hex"], r["spans"]) == (1, 0, 1, "assign:0:16,hex:17:57")
+    assert r["base_sha256"] == hashlib.sha256(b"assign:0:16,hex:17:57").hexdigest()
+
+
+def test_models_tell_random_strings_from_identifiers(spark, model):
+    random = ["dGhpc0lzQVJhbmRvbVN0cmluZzEyMzQ1", "q7Zr2XkP0vLw9TnBs4Yh6Jd1", "Zx91QmL0pVtR7KcW3nUe8SgY", "wJalrXUtnFEMIK7MDENGbPxRfiCYzEXAMPLEKEY"]
+    plain = ["internationalization_module", "getApplicationContextProvider", "the-quick-brown-fox-jumps", "==========================", "MAXIMUM_CONNECTION_LIMIT", "src/main/resources/config"]
+    docs = spark.createDataFrame(list(enumerate(random + plain)), "doc_id long, text string")
+    hits = {r["doc_id"]: len(r["spans"]) for r in s.scan(docs, model).collect()}
+    assert [hits[i] for i in range(len(random))] == [1] * len(random)
+    assert [hits[i + len(random)] for i in range(len(plain))] == [0] * len(plain)
+
+
+def test_ordinary_documents_have_no_added_span(documents, model):
+    assert not [r for r in s.scan(documents, model).collect() if any(x["kind"] == 3 for x in r["spans"])]
+
+
+def test_empty_table(spark, none):
+    assert s.scan(none, s.train(s.labelled_samples(spark, none))).count() == 0
+    assert set(s.train(none.selectExpr("text as sample", "true as random"))) == {0.0}
