@@ -152,7 +152,7 @@ def _scan(folder: str, key_bits: int, window: int):
                     if x is None or x["text"] != text:
                         if out is None:
                             fs.create_dir(path, recursive=True)
-                            out = fs.open_output_stream(f"{path}/{log}")
+                            out = fs.open_output_stream(f"{path}/{log}", compression=None)
                         packed = zstd.compress(text)
                         key = int.from_bytes(sha[:8], "little", signed=True) & ((1 << key_bits) - 1) if key_bits < 64 else int.from_bytes(sha[:8], "little", signed=True)
                         out.write(packed)
@@ -194,7 +194,7 @@ def _own(folder: str, capacity: int):
             return
         fs, path = filesystem(folder)
         fs.create_dir(f"{path}/index", recursive=True)
-        with fs.open_output_stream(f"{path}/index/{name}") as out:
+        with fs.open_output_stream(f"{path}/index/{name}", compression=None) as out:
             table.save(out, sorted(names))
         logs, rows = Logs(folder), []
         for bucket in table.buckets():
