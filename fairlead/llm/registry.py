@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, near_dedup, packing, pii, quality, secrets, warc
+from . import exact_dedup, lm, mixing, near_dedup, packing, pii, quality, secrets, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_pack_sequences(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_lm_score(spark, sf_dir):
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op7_mix_sources(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_pii": op4_pii,
     "op5_pack_sequences": op5_pack_sequences,
+    "op6_lm_score": op6_lm_score,
     "op7_mix_sources": op7_mix_sources,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_near_dedup": op9_near_dedup,
