@@ -265,7 +265,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
         grams = grams.select(F.expr(f"gram & {(1 << 8 * (order + 1)) - 1}").alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n"))
     rows = grams.orderBy("gram").toArrow()  # `cells` rows at most
     table = build(rows.column("gram").to_numpy().astype(np.uint64), rows.column("n").to_numpy(), order) if len(rows) else _uniform()
-    common = counts.orderBy(F.desc("c"), "word").limit(frequent).collect()
+    # the lowest of these counts that no more than `frequent` words reach
+    levels = [1 << i for i in range(40)]
+    reach = counts.agg(*(F.count_if(F.col("c") >= x) for x in levels)).first()
+    least = next(x for x, n in zip(levels, reach) if n <= frequent)
+    common = counts.where(F.col("c") >= least).collect()
     table, common = spark.sparkContext.broadcast(table), spark.sparkContext.broadcast({bytes(r["word"]): r["c"] for r in common})
     schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, word binary, tf long"
     scored = written(source.mapInArrow(_score(table, common, unit, denominator, end), schema), f"{folder}/scored")

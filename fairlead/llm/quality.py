@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .shared import fold_of, joined_bytes, shared_dir, slices, written
 from .words import LOWER, hash_words, mixed, word_places
 
-SAMPLE_ROWS = 20_000  # labelled rows that training takes at most, the smallest by hash of id
+SAMPLE_ROWS = 20_000  # labelled ids that training takes, about; with repeated rows, twice as many rows at most
 THRESHOLD = 0.3
 BINS, TREES, DEPTH, RATE, PENALTY, LEAST = 64, 60, 4, 0.2, 1.0, 5.0
 
@@ -162,7 +162,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS, row_col: str | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted: one row for each row of `docs`.
 
-    Labels are learnt where crc32(id as text) mod 5 is not 0, from `sample_rows` rows at most, and only
+    Labels are learnt where crc32(id as text) mod 5 is not 0, from about `sample_rows` ids, and only
     labels 0 and 1 count; an id with both labels takes the more frequent, 1 in a tie. Rows with a null
     id are never learnt from. Null texts count as empty and are scored like them. Repeated rows are
     scored each; other columns of either table are ignored; without labels every score is 0.5.
@@ -175,7 +175,9 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     known = written(source.mapInArrow(_statistics_run, "doc_id long, held_out boolean, row long, x array<float>"), f"{folder}/statistics")
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     marks = marks.groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
-    sample = known.where("not held_out").join(marks, "doc_id").select("x", "y", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id", "x").limit(sample_rows).select("x", "y").toArrow()
+    labelled = known.where("not held_out").join(marks, "doc_id").select("x", "y", "doc_id")
+    share = min(1.0, sample_rows / max(1, marks.count()))  # by hash of id; no task gathers more than the sample
+    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * sample_rows).orderBy("doc_id", "x").select("x", "y").toArrow()
     model = fit(_matrix(sample.column("x")), sample.column("y").to_numpy().astype(float))
 
     def score(batches):

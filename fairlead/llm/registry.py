@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, lm, mixing, near_dedup, packing, pii, quality, secrets, warc
+from . import ann, exact_dedup, lm, mixing, near_dedup, packing, pii, quality, secrets, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op1_warc_round_trip(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op2_nearest(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op3_quality(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,8 +59,16 @@ def op10_secret_scan(spark, sf_dir):
     return secrets.digest(secrets.scan(docs, model))
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op1_warc_round_trip": op1_warc_round_trip,
+    "op2_nearest": op2_nearest,
     "op3_quality": op3_quality,
     "op4_pii": op4_pii,
     "op5_pack_sequences": op5_pack_sequences,

@@ -25,7 +25,7 @@ TOKEN_LEAST = 20
 #: Mean log-likelihood ratio of a step, in nats, from which a run counts as random.
 RATIO = 0.5
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-SAMPLE_ROWS = 20_000  # labelled texts that training takes at most, the smallest by hash
+SAMPLE_ROWS = 20_000  # texts that training draws identifiers from, about
 
 
 def matches(text: Column, pattern: str, least: int = 1) -> Column:
@@ -52,13 +52,14 @@ def guarded(text: Column, trigger: str, value: Column) -> Column:
 
 def labelled_samples(spark: SparkSession, docs: DataFrame, text_col: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:
     """(sample, random boolean): strings from a hash in base64, upper case with digits and hexadecimal,
-    and ordinary identifiers: words of the first `rows` texts by hash, alone and joined as in programs."""
+    and ordinary identifiers: words of about `rows` texts, drawn by hash, joined as in programs."""
     ids = spark.range(3000).select(F.sha2(F.concat(F.lit("sample-"), F.col("id").cast("string")), 256).alias("h"), "id")
     drawn = F.base64(F.unhex("h"))
     pieces = F.array(F.substring(drawn, 1, 40), F.translate(F.upper(F.substring(drawn, 3, 24)), "+/=", "QZ7"), F.substring("h", 1, 40))
     random = ids.select(F.explode(pieces).alias("sample"), F.lit(True).alias("random"))
     texts = docs.select(F.substring(F.col(text_col).cast("string"), 1, 400).alias("t")).where("t is not null")
-    texts = texts.select("t", F.xxhash64("t").alias("h")).orderBy("h", "t").limit(rows)
+    share = min(1.0, rows / max(1, texts.count()))  # by hash, so that no task orders or gathers what all tasks have
+    texts = texts.where(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < int(share * (1 << 30)))
     words = F.filter(F.split(F.regexp_replace("t", "[^A-Za-z]+", " "), " "), lambda w: F.length(w) > 1)
     words = texts.select(words.alias("w")).where(F.size("w") >= 8)
     w = lambda i: F.lower(F.col("w")[i])
