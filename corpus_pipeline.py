@@ -40,12 +40,12 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: the one with the smallest id. Documents without
-    words and those with a null id link with nothing that could name them, and stay. Of several rows
-    of the staying id, those of other components stay by their own smallest id."""
-    found = near_dedup.near_duplicates(docs)
-    gone = found.where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    """One document of each component of near copies: that with the smallest id. Documents without
+    words link with nothing and stay."""
+    docs = numbered(docs)
+    found = near_dedup.near_duplicates(docs, row_col="_row")
+    kept = found.where("stays").select(F.col("row").alias("_row"))
+    return docs.join(kept, "_row", "left_semi").select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +56,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     times = F.ceil(F.col("taken") / F.col("size")).cast("int")
     out = docs.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), times)))
     left = (F.col("taken") - (F.col("_copy") - 1) * F.col("size")).cast("int")
-    head = F.regexp_extract(F.col("text"), F.concat(F.lit("^(?:[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+){"), left.cast("string"), F.lit("}")), 0)
+    words = F.regexp_extract_all("text", F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0))  # each with the blanks before it
+    head = F.array_join(F.slice(words, 1, left), "")
     text = F.when(left < F.col("size"), head).otherwise(F.col("text"))
     return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 

@@ -37,7 +37,7 @@ STEPS = _rng.integers(1, 1 << 62, WORDS, dtype=np.uint64) * np.uint64(2) + np.ui
 FACTORS = _rng.integers(1, 1 << 62, M, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _rng.integers(1, 1 << 62, M, dtype=np.uint64)
 
-SIGNATURE = "doc_id long, n_shingles long, f1 long, f2 long, sketch binary"
+SIGNATURE = "doc_id long, row long, n_shingles long, f1 long, f2 long, sketch binary"
 SETS = "f1 long, f2 long, set binary"
 
 
@@ -123,7 +123,7 @@ def _sign(batches):
                 first = np.r_[0, last[:-1]][full]
                 for i, r in zip(full.tolist(), registers(h, first)):
                     sketch[i] = r.tobytes()
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(f1), pa.array(f2), pa.array(list(sketch), pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(n), pa.array(f1), pa.array(f2), pa.array(list(sketch), pa.binary())], names=names)
 
 
 def _full_sets(batches):
@@ -230,7 +230,7 @@ def components(nodes: DataFrame, links: DataFrame, folder: str) -> DataFrame:
     return nodes.join(linked, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY, row_col: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of `docs`.
 
     Texts are lower-cased in A-Z and split at ASCII white space; two link when
@@ -238,11 +238,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     has one shingle of all its words; one without words, or null, has none and links with nothing.
     component_id is the smallest id reachable, kept is whether that is the row's own. Null ids come
     last: component_id is null where no other id is reachable, and such rows are kept. Repeated rows of
-    an id are alike. Other columns are ignored; an empty table gives no rows.
+    an id are alike. Other columns are ignored; an empty table gives no rows. With `row_col` (a unique
+    long) come `row` and `stays`, true for exactly one row of each component, that of the smallest id,
+    then row, and for all rows without words.
     """
     spark = docs.sparkSession
     folder = shared_dir(spark, "near-dedup")
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    row = (F.col(row_col) if row_col else F.lit(None)).cast("long")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), row.alias("row"), F.col(text_col).cast("string").alias("text"))
     signed = written(source.mapInArrow(_sign, SIGNATURE), f"{folder}/signatures")
     classes = signed.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = written(classes.select(F.monotonically_increasing_id().alias("node"), "*"), f"{folder}/classes")
@@ -279,10 +282,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     labelled = classes.select("node", "rep", "f1", "f2").join(comps, "node")
     least = labelled.groupBy("comp").agg(F.min("rep").alias("component"))
-    labelled = labelled.join(least, "comp").select("f1", "f2", "component")
-    whole = signed.select("doc_id", "n_shingles", "f1", "f2").join(labelled, ["f1", "f2"], "left")
+    labelled = labelled.join(least, "comp").select("f1", "f2", "component", "comp")
+    whole = signed.select("doc_id", "row", "n_shingles", "f1", "f2").join(labelled, ["f1", "f2"], "left")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.when(F.col("component") < NULL_ID, F.col("component")))
-    return whole.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = whole.select("doc_id", "n_shingles", own.alias("component_id"), "row", "comp").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    if not row_col:
+        return out.drop("row", "comp")
+    best = out.where("comp is not null").groupBy("comp").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NULL_ID)), "row")).alias("best"))
+    out = out.join(best.select("comp", F.col("best.row").alias("best")), "comp", "left")
+    return out.withColumn("stays", (F.col("n_shingles") == 0) | (F.col("row") == F.col("best"))).drop("comp", "best")
 
 
 def _links(source: DataFrame, classes: DataFrame, pairs: DataFrame, similarity: int, path: str) -> DataFrame:
