@@ -1,4 +1,323 @@
-"""Queries of the engine by name, with the SQL that checks them."""
+"""Queries of the engine by name, with the SQL that checks them.
+
+Sizes of the tables that are broadcast are fixed (sampling instants) or left to the planner.
+"""
+
+from __future__ import annotations
+
+from datetime import date
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import adapters as a
+from .functions.scalar import days_between, event_month, haversine_km
+from .operators import decode, density, quality, sampling, spatial, vessels
+from .schemas import FLAG, RAW_COLUMNS, SHARD_COLUMNS
+from .sources.dat import split_fields
+
+DAYS = days_between(date(2024, 1, 1), date(2024, 1, 30))
+HOURS = list(range(0, 24, 3))
+EXTENT, CELL = (-60.0, 60.0, -40.0, 40.0), 2.5
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _fields(lines: str, n: int) -> str:
+    """SQL form of `split_fields`."""
+    return f"(SELECT line_number, {', '.join(f'''nullif(p[{i + 1}], '') AS c{i:02d}''' for i in range(n))} FROM (SELECT line_number, string_split(value, '~') AS p FROM {lines}))"
+
+
+def positions(spark, sf_dir) -> DataFrame:
+    return decode.decode_positions(split_fields(a.raw_lines(spark, sf_dir)), "2024-01-15")
+
+
+def static(spark, sf_dir) -> DataFrame:
+    return decode.decode_static(split_fields(a.static_lines(spark, sf_dir)), None)
+
+
+def registry(spark, sf_dir) -> DataFrame:
+    return vessels.vessel_registry(vessels.static_shard(static(spark, sf_dir)), a.TANKER_TYPES)
+
+
+def tracks(spark, sf_dir) -> DataFrame:
+    """Clean positions of the vessels that the registry has as tankers."""
+    p = decode.decode_positions(split_fields(a.clean_lines(spark, sf_dir)), "2024-01-15")
+    return vessels.tanker_positions(p, vessels.tanker_registry(registry(spark, sf_dir)))
+
+
+def samples(spark, sf_dir, tolerance: int = 1800) -> DataFrame:
+    return sampling.sample_nearest(tracks(spark, sf_dir), sampling.sampling_targets(spark, "UTC", HOURS, DAYS), tolerance)
+
+
+_DAY = 1_705_276_800  # 2024-01-15
+_LOW, _HIGH = _DAY - 172_800, _DAY + 259_200
+_POS = f"""(SELECT *, (CASE WHEN comm_type NOT IN (1,2,3) OR comm_type IS NULL THEN {FLAG["unknown_comm_type"]} ELSE 0 END)
+  | (CASE WHEN device_id IS NULL OR try_cast(device_id AS BIGINT) IS NULL OR (comm_type = 1 AND NOT device_number BETWEEN 1 AND 999999999) THEN {FLAG["invalid_device_id"]} ELSE 0 END)
+  | (CASE WHEN receive_time_s NOT BETWEEN 946684800 AND 4102444800 THEN {FLAG["invalid_receive_time"]} ELSE 0 END)
+  | (CASE WHEN pos_time_s NOT BETWEEN 946684800 AND 4102444800 THEN {FLAG["invalid_position_time"]} ELSE 0 END)
+  | (CASE WHEN lon_raw IS NULL OR lat_raw IS NULL THEN {FLAG["invalid_coordinate"]} ELSE 0 END)
+  | (CASE WHEN abs(lon_raw) >= 108600000 OR abs(lat_raw) >= 54600000 THEN {FLAG["coordinate_unavailable"]} ELSE 0 END)
+  | (CASE WHEN cog_raw NOT BETWEEN 0 AND 3599 THEN {FLAG["cog_unavailable_or_invalid"]} ELSE 0 END)
+  | (CASE WHEN sog_raw NOT BETWEEN 0 AND 1022 THEN {FLAG["sog_unavailable_or_invalid"]} ELSE 0 END)
+  | (CASE WHEN true_heading NOT BETWEEN 0 AND 359 AND true_heading <> 511 THEN {FLAG["heading_unavailable_or_invalid"]} ELSE 0 END)
+  | (CASE WHEN navigation_status NOT BETWEEN 0 AND 15 THEN {FLAG["invalid_navigation_status"]} ELSE 0 END)
+  | (CASE WHEN rot NOT BETWEEN -128 AND 127 THEN {FLAG["invalid_rot"]} ELSE 0 END)
+  | (CASE WHEN position_accuracy NOT IN (0, 1) THEN {FLAG["invalid_position_accuracy"]} ELSE 0 END)
+  | (CASE WHEN pos_time_s > receive_time_s + 300 THEN {FLAG["position_after_receipt"]} ELSE 0 END)
+  | (CASE WHEN receive_time_s NOT BETWEEN {_LOW} AND {_HIGH} THEN {FLAG["file_date_mismatch"]} ELSE 0 END)
+  | (CASE WHEN pos_time_s NOT BETWEEN {_LOW} AND {_HIGH} THEN {FLAG["file_date_mismatch"]} ELSE 0 END) AS dq_mask
+  FROM (SELECT line_number, comm_type, device_id, device_number, receive_time_s,
+    CASE WHEN comm_type = 1 THEN try_cast(c03 AS SMALLINT) END AS source_id, CASE WHEN comm_type = 1 THEN c04 END AS ais_message_id,
+    CASE WHEN comm_type = 1 THEN try_cast(c05 AS BIGINT) ELSE try_cast(c03 AS SMALLINT)::BIGINT END AS pos_time_s,
+    CASE WHEN comm_type = 1 THEN try_cast(c06 AS INTEGER) ELSE try_cast(c04 AS INTEGER) END AS lon_raw,
+    CASE WHEN comm_type = 1 THEN try_cast(c07 AS INTEGER) ELSE try_cast(try_cast(c05 AS BIGINT) AS INTEGER) END AS lat_raw,
+    CASE WHEN comm_type = 1 THEN try_cast(c08 AS SMALLINT) WHEN comm_type = 3 THEN try_cast(try_cast(c06 AS INTEGER) AS SMALLINT) END AS cog_raw,
+    CASE WHEN comm_type = 1 THEN try_cast(c09 AS SMALLINT) WHEN comm_type = 3 THEN try_cast(try_cast(c07 AS INTEGER) AS SMALLINT) END AS sog_raw,
+    CASE WHEN comm_type = 1 THEN try_cast(c10 AS SMALLINT) END AS true_heading, CASE WHEN comm_type = 1 THEN try_cast(c11 AS SMALLINT) END AS navigation_status,
+    CASE WHEN comm_type = 1 THEN try_cast(c12 AS SMALLINT) END AS rot, CASE WHEN comm_type = 1 THEN try_cast(c13 AS SMALLINT) END AS position_accuracy
+    FROM (SELECT *, try_cast(c00 AS TINYINT) AS comm_type, c01 AS device_id, try_cast(c01 AS INTEGER) AS device_number, try_cast(c02 AS BIGINT) AS receive_time_s FROM {_fields(a.RAW_LINES, 14)})))"""
+
+_STATIC = f"""(SELECT *, (CASE WHEN comm_type <> 1 OR comm_type IS NULL THEN {FLAG["unknown_comm_type"]} ELSE 0 END)
+  | (CASE WHEN mmsi NOT BETWEEN 1 AND 999999999 THEN {FLAG["invalid_device_id"]} ELSE 0 END)
+  | (CASE WHEN receive_time_s NOT BETWEEN 946684800 AND 4102444800 THEN {FLAG["invalid_receive_time"]} ELSE 0 END)
+  | (CASE WHEN m NOT IN ('5','19','21','24A','24B') OR m IS NULL THEN {FLAG["unknown_message_type"]} ELSE 0 END)
+  | (CASE WHEN ship_type NOT BETWEEN 0 AND 255 OR position_device_type NOT BETWEEN 0 AND 15 OR draught_raw NOT BETWEEN 0 AND 255 OR dte NOT IN (0, 1) THEN {FLAG["invalid_static_field"]} ELSE 0 END) AS dq_mask
+  FROM (SELECT line_number, try_cast(c00 AS TINYINT) AS comm_type, try_cast(c01 AS INTEGER) AS mmsi, try_cast(c02 AS BIGINT) AS receive_time_s, m,
+    rtrim(CASE m WHEN '5' THEN c05 END, '@') AS imo, rtrim(CASE m WHEN '5' THEN c06 WHEN '24B' THEN c07 END, '@') AS callsign,
+    rtrim(CASE m WHEN '5' THEN c07 WHEN '19' THEN c05 WHEN '24A' THEN c05 END, '@') AS ship_name,
+    try_cast(CASE m WHEN '5' THEN c08 WHEN '19' THEN c06 WHEN '24B' THEN c05 END AS SMALLINT) AS ship_type,
+    try_cast(CASE m WHEN '5' THEN c09 WHEN '19' THEN c07 WHEN '21' THEN c08 WHEN '24B' THEN c08 END AS SMALLINT) AS length_bow,
+    try_cast(CASE m WHEN '5' THEN c10 WHEN '19' THEN c08 WHEN '21' THEN c09 WHEN '24B' THEN c09 END AS SMALLINT) AS length_stern,
+    try_cast(CASE m WHEN '5' THEN c11 WHEN '19' THEN c09 WHEN '21' THEN c10 WHEN '24B' THEN c10 END AS SMALLINT) AS breadth_port,
+    try_cast(CASE m WHEN '5' THEN c12 WHEN '19' THEN c10 WHEN '21' THEN c11 WHEN '24B' THEN c11 END AS SMALLINT) AS breadth_starboard,
+    try_cast(CASE m WHEN '5' THEN c13 WHEN '19' THEN c11 WHEN '21' THEN c11 END AS SMALLINT) AS position_device_type,
+    CASE m WHEN '5' THEN c14 END AS eta_raw, try_cast(CASE m WHEN '5' THEN c15 END AS SMALLINT) AS draught_raw, rtrim(CASE m WHEN '5' THEN c16 END, '@') AS destination,
+    try_cast(CASE m WHEN '5' THEN c17 WHEN '19' THEN c12 END AS SMALLINT) AS dte, try_cast(CASE m WHEN '21' THEN c05 END AS SMALLINT) AS aton_type,
+    rtrim(CASE m WHEN '21' THEN c06 END, '@') AS aton_name, try_cast(CASE m WHEN '21' THEN c12 END AS UTINYINT)::SMALLINT AS aton_status, rtrim(CASE m WHEN '24B' THEN c06 END, '@') AS vendor_id
+    FROM (SELECT *, c04 AS m FROM {_fields(a.STATIC_LINES, 18)})))"""
+
+_SHARD = f"(SELECT * FROM {_STATIC} WHERE dq_mask & 255 = 0 AND mmsi IS NOT NULL AND ship_type BETWEEN 0 AND 255)"
+_TYPES = ", ".join(map(str, a.TANKER_TYPES))
+
+
+def _latest(c: str, cond: str = "") -> str:
+    return f"first({c} ORDER BY receive_time_s DESC NULLS LAST, line_number DESC){f' FILTER (WHERE {cond})' if cond else ''}"
+
+
+_REGISTRY = f"""(SELECT mmsi, bool_or(ship_type IN ({_TYPES})) AS is_tanker, min(receive_time_s) AS first_static_time_s, max(receive_time_s) AS last_static_time_s, count(*) AS static_record_count,
+  count(DISTINCT ship_type)::INTEGER AS distinct_ship_type_count, count(DISTINCT ship_type) > 1 AS ship_type_conflict, list_sort(list_distinct(list(ship_type))) AS types,
+  {_latest("ship_type")} AS latest_ship_type, {", ".join(f"{_latest(c, f'{c} IS NOT NULL AND length({c}) > 0')} AS latest_{c}" for c in ("ship_name", "imo", "callsign", "destination"))},
+  {_latest("draught_raw / 10.0::DOUBLE", "draught_raw IS NOT NULL")} AS latest_draught_m FROM {_SHARD} GROUP BY mmsi)"""
+_TEXT_TYPES = "'[' || array_to_string(types, ', ') || ']'"
+_TRACKS = f"""(SELECT p.*, r.latest_ship_name AS registry_ship_name, r.latest_ship_type AS registry_ship_type, r.ship_type_conflict, {_TEXT_TYPES} AS observed FROM {a.CLEAN} p JOIN {_REGISTRY} r USING (mmsi)
+  WHERE r.is_tanker AND is_hard_valid AND NOT (longitude_deg = 0 AND latitude_deg = 0))"""
+_TARGETS = f"(SELECT {a.FIRST} + 10800 * i AS target_time_s, (i % 8 * 3)::SMALLINT AS target_hour, strftime(make_timestamp(({a.FIRST} + 10800 * i) * 1000000), '%Y-%m-%d') AS sample_date FROM range({8 * len(DAYS)}) r(i))"
+
+
+def _nearest(tolerance: int) -> str:
+    return f"""(SELECT * EXCLUDE (place) FROM (SELECT *, pos_time_s - target_time_s AS signed_offset_seconds, abs(pos_time_s - target_time_s) AS absolute_offset_seconds,
+  count(*) OVER (PARTITION BY mmsi, target_time_s)::INTEGER AS candidate_count,
+  row_number() OVER (PARTITION BY mmsi, target_time_s ORDER BY abs(pos_time_s - target_time_s), pos_time_s, receive_time_s, source_file, line_number) AS place
+  FROM {_TRACKS} JOIN {_TARGETS} ON pos_time_s BETWEEN target_time_s - {tolerance} AND target_time_s + {tolerance}) WHERE place = 1)"""
+
+
+_SAMPLE_OUT = ["sample_date", "target_hour", "target_time_s", "mmsi", "line_number", "pos_time_s", "longitude_deg", "latitude_deg", "registry_ship_name", "signed_offset_seconds", "absolute_offset_seconds", "candidate_count"]
+_CELLS = f"""(SELECT floor((longitude_deg - {EXTENT[0]}) / {CELL})::INTEGER AS ix, floor((latitude_deg - {EXTENT[2]}) / {CELL})::INTEGER AS iy, count(*) AS sample_count, count(DISTINCT mmsi) AS unique_vessels
+  FROM {_nearest(1800)} WHERE longitude_deg >= {EXTENT[0]} AND longitude_deg < {EXTENT[1]} AND latitude_deg >= {EXTENT[2]} AND latitude_deg < {EXTENT[3]} GROUP BY 1, 2)"""
+
+
+@query(f"SELECT line_number, {', '.join(RAW_COLUMNS[:14])}, c14 AS c14 FROM {_fields(a.RAW_LINES, 15)}")
+def dat_split_scan(spark, sf_dir):
+    return split_fields(a.raw_lines(spark, sf_dir)).select("line_number", *RAW_COLUMNS[:15])
+
+
+_POS_OUT = ["line_number", "comm_type", "device_id", "mmsi", "receive_time_s", "source_id", "ais_message_id", "pos_time_s", "lon_raw", "lat_raw", "longitude_deg", "latitude_deg", "cog_raw", "cog_deg", "sog_raw", "sog_kn", "true_heading", "navigation_status", "rot", "position_accuracy", "dq_mask", "is_hard_valid"]
+
+
+@query(f"""SELECT line_number, comm_type, device_id, CASE WHEN comm_type = 1 AND device_number BETWEEN 1 AND 999999999 THEN device_number END AS mmsi, receive_time_s, source_id, ais_message_id, pos_time_s, lon_raw, lat_raw,
+  CASE WHEN abs(lon_raw) < 108600000 AND abs(lat_raw) < 54600000 THEN lon_raw / 600000.0::DOUBLE END AS longitude_deg, CASE WHEN abs(lon_raw) < 108600000 AND abs(lat_raw) < 54600000 THEN lat_raw / 600000.0::DOUBLE END AS latitude_deg,
+  cog_raw, CASE WHEN cog_raw BETWEEN 0 AND 3599 THEN cog_raw / 10.0::DOUBLE END AS cog_deg, sog_raw, CASE WHEN sog_raw BETWEEN 0 AND 1022 THEN sog_raw / 10.0::DOUBLE END AS sog_kn,
+  true_heading, navigation_status, rot, position_accuracy, dq_mask::BIGINT AS dq_mask, dq_mask & 255 = 0 AS is_hard_valid FROM {_POS}""")
+def decode_position(spark, sf_dir):
+    return positions(spark, sf_dir).select(_POS_OUT)
+
+
+_STA_OUT = ["line_number", "comm_type", "mmsi", "receive_time_s", "imo", "callsign", "ship_name", "ship_type", "length_bow", "length_stern", "breadth_port", "breadth_starboard", "position_device_type", "eta_raw", "draught_raw", "draught_m", "destination", "dte", "aton_type", "aton_name", "aton_status", "vendor_id", "dq_mask", "is_hard_valid"]
+
+
+@query(f"SELECT {', '.join({'draught_m': 'draught_raw / 10.0::DOUBLE AS draught_m', 'dq_mask': 'dq_mask::BIGINT AS dq_mask', 'is_hard_valid': 'dq_mask & 255 = 0 AS is_hard_valid'}.get(c, c) for c in _STA_OUT)}, m AS ais_message_id FROM {_STATIC}")
+def decode_static(spark, sf_dir):
+    return static(spark, sf_dir).select(*_STA_OUT, "ais_message_id")
+
+
+@query(f"SELECT flag, records FROM ({' UNION ALL '.join(f'''SELECT '{name}' AS flag, count(*) FILTER (WHERE dq_mask & {bit} <> 0) AS records FROM p''' for name, bit in FLAG.items())}) WHERE records > 0".join([f"WITH p AS (SELECT dq_mask FROM {_POS}) ", ""]))
+def dq_flag_histogram(spark, sf_dir):
+    return quality.flag_histogram(positions(spark, sf_dir))
+
+
+@query(f"SELECT count(*) AS records, (count(*) FILTER (WHERE dq_mask & 255 = 0))::BIGINT AS hard_valid_records, (count(*) FILTER (WHERE dq_mask & 255 <> 0))::BIGINT AS hard_invalid_records FROM {_POS}")
+def decode_summary(spark, sf_dir):
+    return quality.decode_summary(positions(spark, sf_dir))
+
+
+@query(f"SELECT {', '.join({'draught_m': 'draught_raw / 10.0::DOUBLE AS draught_m', 'source_file': '''\'STA_OK.dat\' AS source_file''', 'dq_mask': 'dq_mask::BIGINT AS dq_mask'}.get(c, c) for c in SHARD_COLUMNS)} FROM {_SHARD}")
+def static_shard_filter(spark, sf_dir):
+    return vessels.static_shard(static(spark, sf_dir))
+
+
+def _flat(df: DataFrame) -> DataFrame:
+    return df.withColumn("observed_ship_types", F.concat(F.lit("["), F.array_join(F.col("observed_ship_types").cast("array<string>"), ", "), F.lit("]")))
+
+
+@query(f"SELECT * EXCLUDE (types), {_TEXT_TYPES} AS observed_ship_types FROM {_REGISTRY}")
+def vessel_registry(spark, sf_dir):
+    return _flat(registry(spark, sf_dir))
+
+
+@query(f"SELECT * EXCLUDE (types), {_TEXT_TYPES} AS observed_ship_types FROM {_REGISTRY} WHERE is_tanker")
+def tanker_registry(spark, sf_dir):
+    return _flat(vessels.tanker_registry(registry(spark, sf_dir)))
+
+
+@query(f"SELECT count(*) AS vessels, count(*) FILTER (WHERE is_tanker) AS tankers, count(*) FILTER (WHERE ship_type_conflict) AS ship_type_conflicts FROM {_REGISTRY}")
+def registry_counts(spark, sf_dir):
+    return vessels.registry_counts(registry(spark, sf_dir))
+
+
+@query(f"SELECT mmsi, line_number, pos_time_s, longitude_deg, latitude_deg, registry_ship_name, registry_ship_type, observed, ship_type_conflict FROM {_TRACKS}")
+def positions_join_registry(spark, sf_dir):
+    return _flat(tracks(spark, sf_dir)).select("mmsi", "line_number", "pos_time_s", "longitude_deg", "latitude_deg", "registry_ship_name", "registry_ship_type", F.col("observed_ship_types").alias("observed"), "ship_type_conflict")
+
+
+@query(f"SELECT count(*) AS records, count(DISTINCT mmsi) AS distinct_mmsi, min(pos_time_s) AS first_time_s, max(pos_time_s) AS last_time_s FROM {_TRACKS}")
+def positions_stage_counts(spark, sf_dir):
+    return vessels.position_counts(tracks(spark, sf_dir))
+
+
+@query(f"SELECT mmsi, line_number, target_time_s, pos_time_s - target_time_s AS signed_offset_seconds FROM {_TRACKS} JOIN {_TARGETS} ON pos_time_s BETWEEN target_time_s - 1800 AND target_time_s + 1800")
+def sample_range_join(spark, sf_dir):
+    found = sampling.candidates(tracks(spark, sf_dir), sampling.sampling_targets(spark, "UTC", HOURS, DAYS), 1800)
+    return found.select("mmsi", "line_number", "target_time_s", "signed_offset_seconds")
+
+
+@query(f"SELECT {', '.join(_SAMPLE_OUT)} FROM {_nearest(1800)}")
+def sample_nearest_3h(spark, sf_dir):
+    return samples(spark, sf_dir).select(_SAMPLE_OUT)
+
+
+@query(f"SELECT {', '.join(_SAMPLE_OUT)} FROM {_nearest(9000)}")
+def sample_overlapping_tolerance(spark, sf_dir):
+    return samples(spark, sf_dir, 9000).select(_SAMPLE_OUT)
+
+
+@query(f"SELECT count(*) AS samples, count(DISTINCT mmsi) AS distinct_mmsi, count(DISTINCT target_time_s) AS targets, max(absolute_offset_seconds) AS largest_offset FROM {_nearest(1800)}")
+def sample_stage_counts(spark, sf_dir):
+    return sampling.sample_counts(samples(spark, sf_dir))
+
+
+@query(f"SELECT sample_date, target_hour, mmsi, line_number, observed AS observed_ship_types, candidate_count FROM {_nearest(1800)} ORDER BY 1, 2, 3")
+def csv_export_projection(spark, sf_dir):
+    return sampling.csv_projection(samples(spark, sf_dir)).select("sample_date", "target_hour", "mmsi", "line_number", "observed_ship_types", "candidate_count")
+
+
+@query(f"SELECT ix, iy, sample_count FROM {_CELLS}")
+def heatmap_grid_sample_count(spark, sf_dir):
+    return spatial.grid_density(samples(spark, sf_dir), EXTENT, CELL).select("ix", "iy", "sample_count")
+
+
+@query(f"SELECT ix, iy, unique_vessels FROM {_CELLS}")
+def heatmap_grid_unique_vessels(spark, sf_dir):
+    return spatial.grid_density(samples(spark, sf_dir), EXTENT, CELL).select("ix", "iy", "unique_vessels")
+
+
+@query(f"SELECT x::INTEGER AS ix, y::INTEGER AS iy, coalesce(sample_count, 0) AS value FROM range(48) a(x) CROSS JOIN range(32) b(y) LEFT JOIN {_CELLS} ON ix = x AND iy = y")
+def heatmap_dense_grid(spark, sf_dir):
+    return spatial.dense_grid(spatial.grid_density(samples(spark, sf_dir), EXTENT, CELL), EXTENT, CELL)
+
+
+@query(f"SELECT event_id, strftime(make_timestamp((event_start_s + (event_end_s - event_start_s) // 2) * 1000000), '%Y-%m') AS month FROM {a.CARGO}")
+def event_month_midpoint(spark, sf_dir):
+    return a.cargo_events(spark, sf_dir).select("event_id", event_month(F.col("event_start_s"), F.col("event_end_s")).alias("month"))
+
+
+@query(f"SELECT * FROM {a.CARGO} WHERE event_status = 'accepted'")
+def accepted_events_gate(spark, sf_dir):
+    return density.accepted_events(a.cargo_events(spark, sf_dir))
+
+
+def _km(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
+    turn = f"(({lon2} - {lon1} + 180.0::DOUBLE) - 360.0::DOUBLE * floor(({lon2} - {lon1} + 180.0::DOUBLE) / 360.0::DOUBLE) - 180.0::DOUBLE)"
+    cosine = lambda x: f"(CASE WHEN abs({x}) = 90 THEN 0.0 ELSE cos(radians({x})) END)"
+    return f"(2 * 6371.0088::DOUBLE * asin(least(1.0, sqrt(pow(sin((radians({lat2}) - radians({lat1})) / 2), 2) + {cosine(lat1)} * {cosine(lat2)} * pow(sin(radians({turn}) / 2), 2)))))"
+
+
+@query(f"SELECT event_id, round({_km('event_longitude_deg', 'event_latitude_deg', '121.5::DOUBLE', '31.2::DOUBLE')}, 5) AS km FROM {a.CARGO} WHERE abs(event_latitude_deg) <= 90")
+def haversine_distance(spark, sf_dir):
+    e = a.cargo_events(spark, sf_dir).where("abs(event_latitude_deg) <= 90")
+    return e.select("event_id", F.round(haversine_km(F.col("event_longitude_deg"), F.col("event_latitude_deg"), F.lit(121.5), F.lit(31.2)), 5).alias("km"))
+
+
+def _cell(events: str, grid: str, low: float, high: float) -> str:
+    """The nearest cell by looking at the cells within a degree of latitude of an event."""
+    return f"""(SELECT event_id, arg_min(value, {{'d': km, 'a': lat, 'o': lon}}) AS value, min(km) AS km FROM (SELECT event_id, g.value, g.lat, g.lon, {_km('e.event_longitude_deg', 'e.event_latitude_deg', 'g.lon', 'g.lat')} AS km
+  FROM {events} e JOIN {grid} g ON g.month = e.month AND g.lat = floor(e.event_latitude_deg) + e.dy WHERE g.value BETWEEN {low} AND {high}) WHERE km <= 75 GROUP BY event_id)"""
+
+
+_PLACED = f"""(SELECT *, unnest([-1, 0, 1, 2]) AS dy FROM (SELECT event_id, event_longitude_deg, event_latitude_deg, strftime(make_timestamp((event_start_s + (event_end_s - event_start_s) // 2) * 1000000), '%Y-%m') AS month
+  FROM {a.CARGO} WHERE event_status = 'accepted' AND event_longitude_deg BETWEEN -180 AND 180 AND event_latitude_deg BETWEEN -90 AND 90))"""
+_WATER = _cell(_PLACED, a.grid_sql(*a.SST), -5.0, 47.0)
+_SALTY = _cell(f"(SELECT * EXCLUDE (month), right(month, 2) AS month FROM {_PLACED})", a.grid_sql(*a.SALT), 0.0, 50.0)
+
+
+@query(f"SELECT e.event_id, value, round(km, 5) AS km FROM (SELECT DISTINCT event_id FROM {_PLACED}) e LEFT JOIN {_WATER} w USING (event_id)")
+def nearest_valid_cell(spark, sf_dir):
+    e = density.accepted_events(a.cargo_events(spark, sf_dir)).where("event_longitude_deg between -180 and 180 and event_latitude_deg between -90 and 90")
+    e = e.select("event_id", F.col("event_longitude_deg").alias("longitude_deg"), F.col("event_latitude_deg").alias("latitude_deg"), event_month(F.col("event_start_s"), F.col("event_end_s")).alias("month"))
+    found = spatial.nearest_valid_cell(e, a.grid(spark, *a.SST), density.RADIUS_KM, *density.SST, on=["month"])
+    return found.select("event_id", "value", F.round("distance_km", 5).alias("km"))
+
+
+def _kernel(salinity, temperature, lon, lat):
+    """A stand-in for densities in queries, by arithmetic that SQL has too."""
+    return F.lit(985.0) + salinity - temperature / F.lit(4.0)
+
+
+_RHO = "985.0::DOUBLE + s.value - w.value / 4.0::DOUBLE"
+_DENSITY = f"""(SELECT event_id, CASE WHEN {_RHO} BETWEEN 990 AND 1050 THEN {_RHO} ELSE 1025.0::DOUBLE END AS seawater_density_kg_m3, CASE WHEN {_RHO} BETWEEN 990 AND 1050 THEN 'linear' ELSE 'fixed_1025' END AS density_method
+  FROM (SELECT event_id FROM {a.CARGO} WHERE event_status = 'accepted') e LEFT JOIN {_WATER} w USING (event_id) LEFT JOIN {_SALTY} s USING (event_id))"""
+
+
+def densities(spark, sf_dir) -> DataFrame:
+    return density.event_density(density.accepted_events(a.cargo_events(spark, sf_dir)), a.grid(spark, *a.SALT), a.grid(spark, *a.SST), _kernel, "linear")
+
+
+@query(f"SELECT * FROM {_DENSITY}")
+def density_fallback(spark, sf_dir):
+    return densities(spark, sf_dir)
+
+
+@query(f"""SELECT count(*) AS n_rows, count(*) - count(DISTINCT event_id) AS duplicate_ids, count(*) FILTER (WHERE event_id IS NULL OR event_id = '') AS empty_ids, count(*) FILTER (WHERE NOT isfinite(seawater_density_kg_m3)) AS not_finite,
+  count(*) FILTER (WHERE seawater_density_kg_m3 NOT BETWEEN 990 AND 1050) AS out_of_range, count(*) FILTER (WHERE density_method NOT IN ('teos10', 'fixed_1025')) AS unknown_methods,
+  count(*) FILTER (WHERE density_method = 'fixed_1025' AND seawater_density_kg_m3 <> 1025) AS wrong_fallbacks, count(*) FILTER (WHERE density_method = 'teos10') AS teos10, count(*) FILTER (WHERE density_method = 'fixed_1025') AS fixed_1025,
+  min(seawater_density_kg_m3) AS least, median(seawater_density_kg_m3) AS median, max(seawater_density_kg_m3) AS most, (count(*) FILTER (WHERE density_method = 'fixed_1025'))::DOUBLE / count(*) AS fallback_share FROM {_DENSITY}""")
+def density_output_qa(spark, sf_dir):
+    return quality.density_summary(densities(spark, sf_dir))
+
+
+@query(f"""SELECT v.*, l.seawater_density_kg_m3 AS load_density_kg_m3, l.density_method AS load_density_method, u.seawater_density_kg_m3 AS unload_density_kg_m3, u.density_method AS unload_density_method
+  FROM (SELECT event_id::VARCHAR AS load_event_id, (event_id + 1)::VARCHAR AS unload_event_id FROM events WHERE event_id % 2 = 0) v JOIN {_DENSITY} l ON l.event_id = load_event_id JOIN {_DENSITY} u ON u.event_id = unload_event_id""")
+def voyage_density_double_join(spark, sf_dir):
+    voyages = a.table(spark, sf_dir, "events").where("event_id % 2 = 0").select(F.col("event_id").cast("string").alias("load_event_id"), (F.col("event_id") + 1).cast("string").alias("unload_event_id"))
+    return density.voyage_densities(voyages, densities(spark, sf_dir))
