@@ -27,7 +27,7 @@ REVERSE = 32  # reverse neighbours that take part in a join
 OFFERS = 5  # partners that one join offers to a node at most
 TABLES, BLOCK = 4, 256  # random-projection orders for the start, nodes of a block
 ROUNDS, ENOUGH = 8, 0.02  # of the descent at most; share of new edges below which it ends
-BEAM, EXPAND, POOL, WALKS = 64, 16, 128, 12
+BEAM, EXPAND, POOL, WALKS = 192, 48, 288, 16
 BROADCAST = 64 << 20  # bytes of rounded vectors up to which they are broadcast
 
 
