@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import target_instants
-from ..schemas import POSITION_COLUMNS
 
 TARGETS = "sample_date string, target_hour smallint, target_time_s long, target_time_local string"
 
@@ -41,7 +40,7 @@ def sample_nearest(positions: DataFrame, targets: DataFrame, tolerance: int) ->
     the shuffle, and nothing is sorted.
     """
     found = candidates(positions, targets, tolerance)
-    rest = [c for c in positions.columns if c not in ("mmsi",)]
+    rest = [c for c in positions.columns if c != "mmsi"]
     last = lambda c: F.struct(F.col(c).isNull().alias("n"), F.col(c).alias("v"))
     key = F.struct("absolute_offset_seconds", "pos_time_s", last("receive_time_s"), last("source_file"), last("line_number"))
     own = F.struct(*rest, "sample_date", "target_hour", "target_time_local", "signed_offset_seconds", "absolute_offset_seconds")
@@ -60,5 +59,3 @@ def csv_projection(samples: DataFrame) -> DataFrame:
     flat = [F.when(F.col(c).isNotNull(), F.concat(F.lit("["), F.array_join(F.col(c).cast("array<string>"), ", "), F.lit("]"))).alias(c) if kinds[c].startswith("array") else F.col(c) for c in samples.columns]
     return samples.select(*flat).orderBy("sample_date", "target_hour", "mmsi")
 
-
-__all__ = ["POSITION_COLUMNS", "candidates", "csv_projection", "sample_counts", "sample_nearest", "sampling_targets"]

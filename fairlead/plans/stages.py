@@ -11,6 +11,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.scalar import file_date
 from ..operators import sampling, spatial, vessels
 from ..operators.decode import decode_positions, decode_static
 from ..operators.quality import decode_summary, flag_histogram
@@ -76,16 +77,10 @@ def stage(c: Config, name: str, targets: list[Path], inputs: list[Path], paramet
 
 
 def _decoded(spark: SparkSession, path: Path, decode, rows: int | None) -> DataFrame:
-    out = decode(read_dat(spark, f"file://{path}"), day) if (day := _day_of(path)) else decode(read_dat(spark, f"file://{path}"))
+    out = decode(read_dat(spark, f"file://{path}"), file_date(path.name))
     return out.limit(rows) if rows else out
 
 
-def _day_of(path: Path) -> str | None:
-    from ..functions.scalar import file_date
-
-    return file_date(path.name)
-
-
 def static_shard(spark, c: Config, day: date, force=False, dry_run=False, rows=None) -> dict:
     source, target = c.input_path("sta", day), shard_path(c, day)
     if not source.exists():
@@ -254,7 +249,7 @@ def doctor(c: Config, days: list[date]) -> dict:
 def decode_file(spark, source: str, root: str, overwrite: bool = False) -> dict:
     """One message file decoded whole, with a manifest of counts and flags."""
     path = Path(source).resolve()
-    kind, day = file_kind(path.name), _day_of(path)
+    kind, day = file_kind(path.name), file_date(path.name)
     target = Path(root).resolve() / "parquet" / kind / f"record_date={day or 'unknown_date'}" / f"{path.stem}.parquet"
     manifest = Path(root).resolve() / "reports" / "manifests" / f"{path.stem}.json"
     if (target.exists() or manifest.exists()) and not overwrite:

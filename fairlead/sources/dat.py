@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import fenced, file_date
+from ..functions.scalar import fenced
 from ..schemas import RAW_COLUMNS
 
 
@@ -35,18 +35,11 @@ def read_dat(spark: SparkSession, path: str, record_date: str | None = None) ->
     lines = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("block"))
     lines = lines.where(F.trim(F.regexp_replace("value", "\\r$", "")) != "")
     counts = lines.groupBy("source_file", "block").count()
-    from pyspark.sql import Window
-
     before = counts.withColumn("before", F.coalesce(F.sum("count").over(Window.partitionBy("source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     # within a split, lines are numbered as they are read
     placed = lines.withColumn("place", F.monotonically_increasing_id())
     first = placed.groupBy("source_file", "block").agg(F.min("place").alias("first"))
     offsets = before.join(first, ["source_file", "block"]).select("source_file", "block", "before", "first")  # one row for each split
-    numbered = placed.join(F.broadcast(offsets), ["source_file", "block"]).withColumn("line_number", (F.col("place") - F.col("first") + 1 + F.col("before")).cast("long"))
+    numbered = placed.join(offsets, ["source_file", "block"]).withColumn("line_number", (F.col("place") - F.col("first") + 1 + F.col("before")).cast("long"))
     day = F.lit(record_date) if record_date else F.nullif(F.regexp_extract("source_file", r"(20\d{2}-\d{2}-\d{2})", 1), F.lit(""))
-    out = split_fields(numbered.withColumn("value", F.regexp_replace("value", "\\r$", "")).select("value", day.cast("string").alias("record_date"), "source_file", "line_number"))
-    return out
-
-
-def date_of(path: str) -> str | None:
-    return file_date(path)
+    return split_fields(numbered.withColumn("value", F.regexp_replace("value", "\\r$", "")).select("value", day.cast("string").alias("record_date"), "source_file", "line_number"))
