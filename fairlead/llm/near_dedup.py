@@ -8,10 +8,10 @@ can be merged by the maximum and agree in a register with a probability near the
 2. Registers are banded; classes that agree in a band are candidates. In each bucket all are paired with
    its smallest class (a star), never with each other. Pairs are filtered by size (exact) and by the
    joint maximum likelihood of both sketches, and confirmed on the full sets.
-3. Links give components. A bucket that still holds several components gets the pairs that the star
-   left out: members outside the largest component, in blocks, against all members, in blocks, leaving out
-   pairs inside one component, which links could not change. So no candidate pair between components is
-   missed, whatever the size of the bucket, and no task holds a whole bucket.
+3. Links give components. In a bucket that still holds several, the members outside the largest one meet
+   all members, block by block, on their full sets; pairs inside one component are left out, for links could
+   not change it. So no candidate pair between components is missed, whatever the size of the bucket, no task
+   holds a whole bucket, and what comes out is a link for each two components at most, never pairs.
 """
 
 from __future__ import annotations
@@ -172,38 +172,54 @@ def _verify(similarity: int):
 
 
 def _blocks(similarity: int):
-    """Over rows sorted by (bucket, block, chunk): pairs of the block's minor members with the chunk's members."""
+    """Over rows sorted by (band, key, block and chunk): links between the block's members and the chunk's,
+    confirmed on full sets. A link is told only where it joins two components."""
 
     def compare(rows):
-        side = [[r for r in rows if r[6] == s] for s in (0, 1)]
+        side = [[r for r in rows if r[5] == s] for s in (0, 1)]
         if not all(side):
-            return None
-        node, comp, n = ([np.array([r[k] for r in s], np.int64) for s in side] for k in (3, 4, 5))
-        sketch = [np.frombuffer(b"".join(r[7] for r in s), np.uint16).reshape(-1, M) for s in side]
-        found = []
+            return []
+        node, comp = ([[r[k] for r in s] for s in side] for k in (3, 4))
+        comp = [np.array(c, np.int64) for c in comp]
+        sets = [[np.frombuffer(r[6], np.uint64) for r in s] for s in side]
+        sizes = [np.array([*map(len, s)]) for s in sets]
+        _, flat = np.unique(np.concatenate([*sets[0], *sets[1]]), return_inverse=True)
+        flat = flat.astype(np.int32)
+        first = np.cumsum(np.r_[0, sizes[0]])
+        chunk, start = flat[first[-1] :], np.cumsum(np.r_[0, sizes[1][:-1]])
+        mark, found = np.zeros(int(flat.max()) + 1, np.int32), []
         for i in range(len(node[0])):
-            lo, hi = np.minimum(n[0][i], n[1]), np.maximum(n[0][i], n[1])
-            j = np.flatnonzero((comp[1] != comp[0][i]) & (100 * lo >= similarity * hi))
-            if len(j):
-                j = j[(sketch[1][j] == sketch[0][i]).sum(1) >= ROWS]
-            if len(j):
-                own = np.broadcast_to(sketch[0][i], (len(j), M))
-                j = j[likeliest(own, sketch[1][j], np.full(len(j), float(n[0][i])), n[1][j].astype(float)) >= similarity / 100 - SLACK]
-                found += [(min(node[0][i], k), max(node[0][i], k)) for k in node[1][j].tolist()]
-        found = sorted(set(found))
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"]) if found else None
+            n, m = sizes[0][i], sizes[1]
+            may = (comp[1] != comp[0][i]) & (100 * np.minimum(n, m) >= similarity * np.maximum(n, m))
+            if not may.any():
+                continue
+            own = flat[first[i] : first[i + 1]]
+            mark[own] = 1
+            common = np.add.reduceat(mark[chunk], start)
+            mark[own] = 0
+            for j in np.flatnonzero(may & (100 * common >= similarity * (n + m - common))).tolist():
+                old, new = comp[1][j], comp[0][i]
+                if old != new:
+                    found.append((node[0][i], node[1][j]))
+                    for c in comp:
+                        c[c == old] = new
+        return found
 
     def run(batches):
         own: list = []
+
+        def told():
+            found = compare(own)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+            own.clear()
+
         for b in batches:
-            for r in zip(*(b.column(k).to_pylist() for k in ("band", "key", "bc", "node", "comp", "n", "side", "sketch"))):
+            for r in zip(*(b.column(k).to_pylist() for k in ("band", "key", "bc", "node", "comp", "side", "set"))):
                 if own and own[0][:3] != r[:3]:
-                    if (out := compare(own)) is not None:
-                        yield out
-                    own = []
+                    yield from told()
                 own.append(r)
-        if own and (out := compare(own)) is not None:
-            yield out
+        yield from told()
 
     return run
 
@@ -261,24 +277,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = classes.select("node")
     comps = written(components(nodes, links, f"{folder}/first"), f"{folder}/components-0")
 
-    # buckets that hold several components yet
-    known = members.select("band", "key", "node").join(comps, "node")
+    # buckets that hold several components yet, without their smallest class, which met all others
+    known = members.where("node != least").select("band", "key", "node").join(comps, "node")
     parts = known.groupBy("band", "key", "comp").agg(F.count("*").alias("own"))
     mixed_up = parts.groupBy("band", "key").agg(F.count("*").alias("k"), F.sum("own").alias("size"), F.max(F.struct("own", "comp")).alias("major")).where("k > 1")
     mixed_up = mixed_up.select("band", "key", F.col("major.comp").alias("major"), F.ceil((F.col("size") - F.col("major.own")) / MINOR).cast("int").alias("blocks"), F.ceil(F.col("size") / MAJOR).cast("int").alias("chunks"))
-    rest = known.join(mixed_up, ["band", "key"]).join(classes.select("node", "n", "sketch"), "node")
-    spot = lambda col, seed: F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(col)).cast("int")
-    pair = lambda block, chunk: F.struct(block.alias("b"), chunk.alias("c"))
-    every = lambda col: F.sequence(F.lit(0), F.col(col) - 1)
-    minor = rest.where("comp != major").withColumn("bc", F.explode(F.transform(every("chunks"), lambda c: pair(spot("blocks", 1), c)))).withColumn("side", F.lit(0))
-    major = rest.withColumn("bc", F.explode(F.transform(every("blocks"), lambda b: pair(b, spot("chunks", 2))))).withColumn("side", F.lit(1))
-    dealt = minor.unionByName(major).select("band", "key", F.shiftleft(F.col("bc.b").cast("long"), 32).bitwiseOR(F.col("bc.c").cast("long")).alias("bc"), "node", "comp", "n", "side", "sketch")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(n, "band", "key", "bc").sortWithinPartitions("band", "key", "bc")
-    likely = written(dealt.mapInArrow(_blocks(similarity), "a long, b long").distinct(), f"{folder}/likely-1")
-    if likely.limit(1).count():
-        links = links.unionByName(_links(source, classes, likely, similarity, f"{folder}/links-1"))
-        comps = written(components(nodes, links, f"{folder}/second"), f"{folder}/components-1")
+    rest = written(known.join(mixed_up, ["band", "key"]), f"{folder}/rest")
+    if rest.limit(1).count():
+        sets = _class_sets(source, classes, rest.select("node").distinct(), f"{folder}/rest-sets")
+        spot = lambda col, seed: F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(col)).cast("int")
+        pair = lambda block, chunk: F.struct(block.alias("b"), chunk.alias("c"))
+        every = lambda col: F.sequence(F.lit(0), F.col(col) - 1)
+        minor = rest.where("comp != major").withColumn("bc", F.explode(F.transform(every("chunks"), lambda c: pair(spot("blocks", 1), c)))).withColumn("side", F.lit(0))
+        major = rest.withColumn("bc", F.explode(F.transform(every("blocks"), lambda b: pair(b, spot("chunks", 2))))).withColumn("side", F.lit(1))
+        dealt = minor.unionByName(major).select("band", "key", F.shiftleft(F.col("bc.b").cast("long"), 32).bitwiseOR(F.col("bc.c").cast("long")).alias("bc"), "node", "comp", "side").join(sets, "node")
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = dealt.repartition(n, "band", "key", "bc").sortWithinPartitions("band", "key", "bc")
+        more = written(dealt.select("band", "key", "bc", "node", "comp", "side", "set").mapInArrow(_blocks(similarity), "a long, b long"), f"{folder}/links-1")
+        comps = written(components(nodes, links.unionByName(more), f"{folder}/second"), f"{folder}/components-1")
 
     labelled = classes.select("node", "rep", "f1", "f2").join(comps, "node")
     least = labelled.groupBy("comp").agg(F.min("rep").alias("component"))
@@ -293,13 +309,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.withColumn("stays", (F.col("n_shingles") == 0) | (F.col("row") == F.col("best"))).drop("comp", "best")
 
 
-def _links(source: DataFrame, classes: DataFrame, pairs: DataFrame, similarity: int, path: str) -> DataFrame:
-    """The pairs that full sets confirm. Sets are made again, from the texts of classes in pairs alone."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def _class_sets(source: DataFrame, classes: DataFrame, wanted: DataFrame, path: str) -> DataFrame:
+    """(node, set) of the classes in `wanted`. Sets are made again, from the texts of these classes alone."""
     wanted = classes.select("node", "rep", "f1", "f2").join(wanted, "node")
     ids = wanted.select("rep").distinct()
     texts = source.join(ids, F.coalesce(source["doc_id"], F.lit(NULL_ID)) == ids["rep"], "left_semi")
     sets = texts.mapInArrow(_full_sets, SETS).join(wanted.select("node", "f1", "f2"), ["f1", "f2"]).select("node", "set").dropDuplicates(["node"])
-    sets = written(sets, f"{path}-sets")
+    return written(sets, path)
+
+
+def _links(source: DataFrame, classes: DataFrame, pairs: DataFrame, similarity: int, path: str) -> DataFrame:
+    """The pairs that full sets confirm."""
+    sets = _class_sets(source, classes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{path}-sets")
     full = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("xa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("xb")), "b")
     return written(full.mapInArrow(_verify(similarity), "a long, b long"), path)
