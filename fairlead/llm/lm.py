@@ -3,11 +3,12 @@
 Pretrained: the corpus is counted once, words and byte (ORDER+1)-grams, and both counts grow with it.
 The grams make a trie of byte contexts. Each context predicts a symbol by method C: what followed it by
 its count, an escape by the number of different symbols that did, and after an escape the next shorter
-context without the symbols already excluded. As the trie is fixed, each context's whole distribution is
-worked out beforehand, and a text is scored by walking all its positions through the trie at once.
+context without the symbols already excluded. The trie is kept sparsely, in files: for each order what was
+seen, and for each context what an escape from it leaves to the next shorter one. It has the same order
+whatever the size of the corpus. No task holds all of it: frequent words and grams (bounded tables) are
+scored in the scanning task, the others as (row, word) and (row, gram) pairs by joins.
 
-The table of contexts is bounded: the highest order whose contexts fit it is taken. Words are scored by
-a join: frequent ones (a bounded table) in the scanning task, the others as (row, word) pairs.
+`build` and `Table` work a small trie out in memory, with each context's whole distribution.
 
 Adaptive: `Adaptive` learns as it reads one text; `adaptive_lengths` gives its code length by document.
 """
@@ -27,8 +28,8 @@ from .shared import as_bytes, fold_of, shared_dir, slices, written
 from .words import LOWER
 
 ORDER = 4  # bytes of the longest context
-CELLS = 16_000_000  # contexts times symbols that the table may have
 FREQUENT = 200_000  # words whose counts every task holds
+GRAMS = 2_000_000  # grams whose chances every task holds
 PARTIAL = 500_000  # words that a task counts before it hands them on
 START, END = 0xFE, 0xFF  # bytes that UTF-8 never has: before a text, after it
 SYMBOLS = 257  # 256 bytes and the end
@@ -209,38 +210,127 @@ def _count(order: int):
     return run
 
 
-def _score(table, frequent, unit: float, denominator: float, end: int):
-    """Rows of documents, and rows (row, word, tf) of their words outside the frequent ones."""
-    names = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "word", "tf"]
-    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64()]
+def seen_shorter(order: int) -> str:
+    """SQL of the last `order` + 1 bytes of a gram."""
+    return f"gram & {(1 << 8 * (order + 1)) - 1}"
+
+
+def trie(grams: DataFrame, order: int, folder: str) -> tuple[list[DataFrame], list[DataFrame]]:
+    """By order, grams (gram, n) and contexts (context, total, kinds; above order 0 also rest and escape).
+
+    rest and escape are of the next shorter context once the symbols seen here are excluded: its total,
+    and its kinds or 0 where none would be left after them. What follows a context also follows the
+    shorter one, so only the symbols seen one order above are ever excluded.
+    """
+    by_order, contexts = [grams], []
+    for k in range(order - 1, -1, -1):
+        shorter = by_order[0].select(F.expr(seen_shorter(k)).alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n"))
+        by_order.insert(0, written(shorter, f"{folder}/grams-{k}"))
+    for k, own in enumerate(by_order):
+        own, sums = own.withColumn("context", F.shiftright("gram", 8)), [F.sum("n").alias("total"), F.count("*").alias("kinds")]
+        if k:
+            low = by_order[k - 1].select(F.col("gram").alias("suffix"), F.col("n").alias("below"))
+            own, sums = own.withColumn("suffix", F.expr(seen_shorter(k - 1))).join(low, "suffix"), [*sums, F.sum("below").alias("below")]
+        own = own.groupBy("context").agg(*sums)
+        if k:
+            low = contexts[-1].select(F.col("context").alias("suffix"), F.col("total").alias("all_n"), F.col("kinds").alias("all_kinds"))
+            own = own.withColumn("suffix", F.expr(f"context & {(1 << 8 * (k - 1)) - 1}")).join(low, "suffix")
+            escape = F.when(F.col("all_kinds") < SYMBOLS, F.col("all_kinds") - F.col("kinds")).otherwise(0)
+            own = own.select("context", "total", "kinds", (F.col("all_n") - F.col("below")).alias("rest"), escape.alias("escape"))
+        contexts.append(written(own, f"{folder}/contexts-{k}"))
+    return by_order, contexts
+
+
+def seen_log():
+    """log10 chance of a symbol seen in its longest context."""
+    return F.log10(F.col("n") / (F.col("total") + F.when(F.col("kinds") < SYMBOLS, F.col("kinds")).otherwise(0)))
+
+
+def unseen(wanted: DataFrame, by_order: list[DataFrame], contexts: list[DataFrame]) -> DataFrame:
+    """(gram, log): log10 chances of grams (distinct) by escapes. From order to order come n, the count;
+    left, the chance of an unseen gram once its context is escaped and excluded; log, that from this order on."""
+    out = None
+    for k, (grams, context) in enumerate(zip(by_order, contexts)):
+        own = wanted.select(F.expr(seen_shorter(k)).alias("gram")).distinct().join(grams, "gram", "left")
+        own = own.withColumn("context", F.shiftright("gram", 8)).join(context, "context", "left")
+        escaped = F.log10(F.col("kinds") / (F.col("total") + F.col("kinds")))
+        if k:
+            low = out.select(F.col("gram").alias("suffix"), F.col("n").alias("low_n"), F.col("left").alias("low_left"), F.col("log").alias("low_log"))
+            own = own.withColumn("suffix", F.expr(seen_shorter(k - 1))).join(low, "suffix")
+            mass = F.col("rest") + F.col("escape")  # may be 0, for grams that were seen
+            on = F.when(F.col("escape") > 0, F.log10(F.try_divide("escape", mass))).otherwise(0.0) + F.col("low_left")
+            left, none = F.when(F.col("low_n").isNotNull(), F.log10(F.try_divide("low_n", mass))).otherwise(on), F.col("low_log")
+        else:
+            left, none = -F.log10(SYMBOLS - F.col("kinds")), F.lit(-float(np.log10(SYMBOLS)))
+        log = F.when(F.col("n").isNotNull(), seen_log()).when(F.col("kinds").isNotNull(), escaped + left).otherwise(none)
+        out = own.select("gram", "n", left.alias("left"), log.alias("log"))
+    return out.select("gram", "log")
+
+
+def _least(counts: DataFrame, column: str, most: int) -> int:
+    """The lowest power of two that no more than `most` of the counts reach."""
+    levels = [1 << i for i in range(40)]
+    reach = counts.agg(*(F.count_if(F.col(column) >= x) for x in levels)).first()
+    return next(x for x, n in zip(levels, reach) if n <= most)
+
+
+def known_chances(data: np.ndarray, first: np.ndarray, order: int, keys: np.ndarray, logs: np.ndarray):
+    """Of framed texts: each one's sum of the log10 chances of the grams in `keys` (sorted), and the other
+    grams as (text, gram, times)."""
+    code = np.zeros(len(data) - order, np.uint64)
+    for i in range(order + 1):
+        code = (code << np.uint64(8)) | data[i : len(data) - order + i]
+    real = data[order:] != START
+    at = np.searchsorted(keys, code)
+    found = real & (keys[np.minimum(at, len(keys) - 1)] == code) if len(keys) else np.zeros(len(code), bool)
+    own = np.zeros(len(data))
+    own[order:][found] = logs[at[found]]
+    other = np.flatnonzero(real & ~found)
+    text, gram = np.searchsorted(first, other + order, side="right") - 1, code[other]
+    by = np.lexsort((gram, text))
+    text, gram = text[by], gram[by]
+    start = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (gram[1:] != gram[:-1])][: len(text)])
+    return np.add.reduceat(own, first), text[start], gram[start], np.diff(np.r_[start, len(text)])
+
+
+def _score(order: int, chances, frequent, unit: float, denominator: float, end: int):
+    """Rows of documents, and rows (row, word or gram, tf) of what is outside the frequent ones."""
+    names = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "word", "gram", "tf"]
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64(), pa.int64()]
+
+    def rows_of(n, **columns):
+        return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(n, t) for k, t in zip(names, types)], names=names)
 
     def run(batches):
-        t, words = table.value, {w: np.log10((c + unit) / denominator) for w, c in frequent.value.items()}
+        words = {w: np.log10((c + unit) / denominator) for w, c in frequent.value.items()}
+        keys, logs = chances.value
         end_log, row = np.log10((end + unit) / denominator), TaskContext.get().partitionId() << 36
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
-                data, first = framed(part.column("text"), t.order)
-                score = t.scores(data, first)
+                scores, text, gram, times = known_chances(*framed(part.column("text"), order), order, keys, logs)
+                for i in range(0, len(text), 200_000):
+                    to = i + 200_000
+                    yield rows_of(len(text[i:to]), row=row + text[i:to], gram=gram[i:to].view(np.int64), tf=times[i:to])
                 docs, rare = [], []
-                for doc_id, held_out, text, s in zip(part.column("doc_id").to_pylist(), part.column("held_out").to_pylist(), as_bytes(part.column("text")), score.tolist()):
+                for doc_id, held_out, text, s in zip(part.column("doc_id").to_pylist(), part.column("held_out").to_pylist(), as_bytes(part.column("text")), scores.tolist()):
                     tokens = text.lower().split()
-                    logs = [*map(words.get, tokens)]
-                    n = len(logs)
-                    if None in logs:
-                        others = Counter(w for w, x in zip(tokens, logs) if x is None)
+                    logs_of = [*map(words.get, tokens)]
+                    n = len(logs_of)
+                    if None in logs_of:
+                        others = Counter(w for w, x in zip(tokens, logs_of) if x is None)
                         rare += [(row, w, k) for w, k in others.items()]
-                        logs = [x for x in logs if x is not None]
-                    docs.append((row, doc_id, held_out, n + 1, len(logs) + (end > 0), sum(logs) + end_log, s, None, None))
+                        logs_of = [x for x in logs_of if x is not None]
+                    docs.append((row, doc_id, held_out, n + 1, len(logs_of) + (end > 0), sum(logs_of) + end_log, s))
                     row += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*docs), types)], names=names)
+                yield rows_of(len(docs), **dict(zip(names, zip(*docs))))
                 for i in range(0, len(rare), 50_000):
                     r, w, k = zip(*rare[i : i + 50_000])
-                    yield pa.RecordBatch.from_arrays([pa.array(r), *(pa.nulls(len(r), x) for x in types[1:7]), pa.array(w, pa.binary()), pa.array(k)], names=names)
+                    yield rows_of(len(r), row=r, word=w, tf=k)
 
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_fold: int = 1, order: int = ORDER, cells: int = CELLS, frequent: int = FREQUENT) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_fold: int = 1, order: int = ORDER, cells: int | None = None, frequent: int = FREQUENT, held_grams: int = GRAMS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row for each row of `docs`.
 
     Learns from rows whose crc32(id as text) mod 5 is not `held_fold`. Words are lower-cased in A-Z and
@@ -259,38 +349,39 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
     tokens, unit, denominator = total + end, 0.5, total + end + 0.5 * (kinds + (end > 0) + 1)
 
     grams = written(parts.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")), f"{folder}/grams")
-    symbols = grams.select(F.expr("gram & 255").alias("s")).distinct().count() + 2
-    while order > 0 and sum(grams.select(F.expr(f"(gram >> 8) & {(1 << 8 * k) - 1}").alias("c")).distinct().count() for k in range(order + 1)) * symbols > cells:
-        order -= 1
-        grams = grams.select(F.expr(f"gram & {(1 << 8 * (order + 1)) - 1}").alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n"))
-    rows = grams.orderBy("gram").toArrow()  # `cells` rows at most
-    table = build(rows.column("gram").to_numpy().astype(np.uint64), rows.column("n").to_numpy(), order) if len(rows) else _uniform()
-    # the lowest of these counts that no more than `frequent` words reach
-    levels = [1 << i for i in range(40)]
-    reach = counts.agg(*(F.count_if(F.col("c") >= x) for x in levels)).first()
-    least = next(x for x, n in zip(levels, reach) if n <= frequent)
-    common = counts.where(F.col("c") >= least).collect()
-    table, common = spark.sparkContext.broadcast(table), spark.sparkContext.broadcast({bytes(r["word"]): r["c"] for r in common})
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, word binary, tf long"
-    scored = written(source.mapInArrow(_score(table, common, unit, denominator, end), schema), f"{folder}/scored")
-    table.unpersist()
+    if cells is not None:
+        symbols = grams.select(F.expr(seen_shorter(0)).alias("s")).distinct().count() + 2
+        while order > 0 and sum(grams.select(F.expr(f"(gram >> 8) & {(1 << 8 * k) - 1}").alias("c")).distinct().count() for k in range(order + 1)) * symbols > cells:
+            order -= 1
+            grams = grams.select(F.expr(seen_shorter(order)).alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n"))
+        grams = written(grams, f"{folder}/lowered")
+    by_order, contexts = trie(grams, order, folder)
+    seen = grams.withColumn("context", F.shiftright("gram", 8)).join(contexts[order], "context")
+    seen = written(seen.select("gram", "n", seen_log().alias("log")), f"{folder}/seen")
+    held = seen.where(F.col("n") >= _least(seen, "n", held_grams)).select("gram", "log").toArrow()  # `held_grams` rows at most
+    keys, logs = held.column("gram").to_numpy().astype(np.uint64), held.column("log").to_numpy().astype(np.float32)
+    by = np.argsort(keys)
+    common = counts.where(F.col("c") >= _least(counts, "c", frequent)).collect()
+    chances, common = spark.sparkContext.broadcast((keys[by], logs[by])), spark.sparkContext.broadcast({bytes(r["word"]): r["c"] for r in common})
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, word binary, gram long, tf long"
+    scored = written(source.mapInArrow(_score(order, chances, common, unit, denominator, end), schema), f"{folder}/scored")
+    chances.unpersist()
     common.unpersist()
-    rare = scored.where("word is not null").select("row", "word", "tf").join(counts, "word", "left")
+    words = scored.where("word is not null").select("row", "word", "tf").join(counts, "word", "left")
     log = F.log10((F.coalesce("c", F.lit(0)) + F.lit(unit)) / F.lit(float(denominator)))
-    rare = rare.groupBy("row").agg(F.sum(F.col("tf") * log).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("more_known"))
-    out = scored.where("word is null").join(rare, "row", "left")
+    words = words.select("row", (F.col("tf") * log).alias("more"), F.when(F.col("c") > 0, F.col("tf")).otherwise(0).alias("more_known"), F.lit(0.0).alias("more_score"))
+    pairs = scored.where("gram is not null").select("row", "gram", "tf")
+    new = written(pairs.select("gram").distinct().join(seen, "gram", "left_anti"), f"{folder}/new")
+    known = seen.select("gram", "log").unionByName(written(unseen(new, by_order, contexts), f"{folder}/unseen"))
+    pairs = pairs.join(known, "gram").select("row", F.lit(0.0).alias("more"), F.lit(0).cast("long").alias("more_known"), (F.col("tf") * F.col("log")).alias("more_score"))
+    rare = words.unionByName(pairs).groupBy("row").agg(*(F.sum(x).alias(x) for x in ("more", "more_known", "more_score")))
+    out = scored.where("n_tokens is not null").join(rare, "row", "left")
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )
 
 
-def _uniform() -> Table:
-    """Before anything is learnt: one context, every symbol with the same chance."""
-    code, child = np.zeros(256, np.int32), np.zeros((2, 1), np.int32)
-    return Table(0, code, child, np.full((2, 1), -np.log10(SYMBOLS), np.float32))
-
-
 def adaptive_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """doc_id, score: log10 probability of each text by a model that starts empty and learns as it reads."""
 

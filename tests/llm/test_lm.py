@@ -56,6 +56,23 @@ def test_a_small_table_lowers_the_order(documents):
     assert sum(small.values()) < sum(full.values()) < 0
 
 
+@pytest.mark.parametrize("held_grams", [0, 300, lm.GRAMS])
+def test_the_order_stays_where_the_text_has_many_contexts(spark, held_grams):
+    # about 2e5 contexts and 190 byte values: more than 16 million cells of a dense table
+    rng = np.random.default_rng(3)
+    draw = lambda n: "".join(map(chr, rng.integers(0x80, 0x800, n)))
+    rows = [(i, draw(20_000) if i < 5 else "the cat sat on the mat" + "at" * i) for i in range(12)]
+    rows += [(i, t) for i, t in zip((50, 51, 52, 53, 54, 55, 56), ("the cat at the mat zebra", "q", draw(40), "", None, "tatatat \u0416", rows[0][1][:300]))]
+    model = lm.Adaptive(lm.ORDER)
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    for i, t in rows:
+        if fold(i) != 1:
+            model.log10((t or "").encode().lower())
+    assert {fold(i) == 1 for i, _ in rows} == {True, False}
+    got = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), held_grams=held_grams).collect()}
+    assert got == pytest.approx({i: model.log10((t or "").encode().lower(), learn=False) for i, t in rows}, rel=1e-5)
+
+
 def test_adaptive_lengths(odd, none):
     short = odd.where("doc_id <> 7")
     rows = lm.adaptive_lengths(short).collect()
