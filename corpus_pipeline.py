@@ -8,6 +8,7 @@ through every stage.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +20,17 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """Rows with a number each. It depends on the files alone, which a stage does not change."""
-    return docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row"))
+    """Rows with a number each, of their file and place in it, whatever the splits in which a pass reads
+    the files, so that each use of it has the same numbers. Rows that come from no files are written first."""
+    place = lambda d: d.select(*COLUMNS, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    try:
+        placed = place(docs)
+    except AnalysisException:
+        placed = place(written(docs.select(COLUMNS), f"{shared_dir(docs.sparkSession, 'pipeline')}/rows"))
+    files = sorted(r["_file"] for r in placed.select("_file").distinct().collect())
+    order = docs.sparkSession.createDataFrame([*enumerate(files)], "_n long, _file string")
+    row = F.shiftleft("_n", 40).bitwiseOR(F.col("_at")).alias("_row")
+    return placed.join(F.broadcast(order), "_file").select(*COLUMNS, row)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,6 +44,20 @@ def test_near_dedup_keeps_one_of_each_component(stages):
     assert {r["doc_id"] for r in stages[3].collect()} == want and stages[3].count() == len(want)
 
 
+def test_numbers_stay_when_files_are_split_otherwise(spark):
+    path = f"{shared_dir(spark, 'numbers-test')}/docs"
+    for n in (5, 40, 200):
+        spark.range(n).selectExpr("id + %d AS doc_id" % n, "string(id) AS text", "'en' AS lang", "'a' AS source", "id AS n_chars").coalesce(1).write.mode("append").parquet(path)
+    found = []
+    for parts in (1, 8):
+        spark.conf.set("spark.sql.files.minPartitionNum", parts)
+        try:
+            found.append(sorted(map(tuple, cp.numbered(spark.read.parquet(path)).collect())))
+        finally:
+            spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert found[0] == found[1] and len({r[-1] for r in found[0]}) == 245
+
+
 def test_mixing_meets_the_targets(stages):
     from fairlead.llm.mixing import source_targets
 
