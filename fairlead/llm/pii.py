@@ -47,8 +47,8 @@ PART = re.compile(rf"{WORD}|[0-9]+", re.I | re.A)
 AT = re.compile(r"\s*[(\[{<]\s*at\s*[)\]}>]\s*|\s+at\s+", re.I)
 DOT = re.compile(r"\s*[(\[{<]\s*(?:dot|punkt|point|punto)\s*[)\]}>]\s*|\s+dot\s+", re.I)
 HIDDEN = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\.|{DOT.pattern})[A-Za-z0-9_%+-]+)*(?P<at>{AT.pattern}|\s*@\s*)[A-Za-z0-9-]+(?:(?:\.|{DOT.pattern})[A-Za-z0-9-]+)+", re.I)
-#: Signs of disguise; a text without any is not rewritten.
-SIGN = re.compile(rf"[{WIDTHLESS}Ͱ-ӿԀ-ԯɡ！-～]|[(\[{{<]\s*(?:at|dot|punkt|point|punto)\s*[)\]}}>]|\sdot\s|(?<![a-z])(?:{WORD})[\x20,.-]{{1,2}}(?:{WORD})[\x20,.-]{{1,2}}(?:{WORD})(?![a-z])", re.I)
+#: Signs of disguise: every text that a transducer edits has one, and a text without any is not rewritten.
+SIGN = re.compile(rf"[{WIDTHLESS}Ͱ-ӿԀ-ԯɡ！-～]|[(\[{{<]\s*(?:at|dot|punkt|point|punto)\s*[)\]}}>]|\sdot\s|\s@|@\s|(?<!(?-i:[A-Za-z0-9]))(?:{WORD})[\x20,.-]{{1,2}}(?:{WORD}|[0-9])", re.I)
 
 
 def luhn(digits: str) -> bool:

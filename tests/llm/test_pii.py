@@ -59,6 +59,22 @@ def test_disguises_map_back_to_the_source(text, found):
     assert [f"{pii.KINDS[k]}:{text[s:e]}" for s, k, e in every if (s, k, e) not in base] == [found]
 
 
+@settings(max_examples=1000, deadline=None)
+@given(st.lists(st.sampled_from(["bob", "mail", "com", "org", "at", "dot", "@", "(at)", "[dot]", ".", " ", "  ", "-", ",", "+1", "one", "four", "Nine", "5", "55", "\u212a", "\u017f", "о", "\u200b"]), max_size=40).map("".join))
+def test_texts_without_a_sign_are_not_rewritten(text):
+    if not pii.SIGN.search(text):
+        tape = pii.Tape(text)
+        for transducer in (pii.homoglyphs, pii.spelled, pii.disguised):
+            tape.rewrite(transducer(tape.text))
+        assert tape.text == text
+
+
+@pytest.mark.parametrize("text,found", [("write to bob @ example.com", "email:bob @ example.com"), ("+1 four 1 five 5 five 0 one 9 nine 8", "phone:+1 four 1 five 5 five 0 one 9 nine 8")])
+def test_disguises_need_no_other_sign(text, found):
+    base, every = pii.spans(text)
+    assert [f"{pii.KINDS[k]}:{text[s:e]}" for s, k, e in every if (s, k, e) not in base] == [found]
+
+
 def test_long_numbers_in_addresses():
     for text in ("0000000000300.1.1.1", "000255.1.1.1", "1" * 5000 + ".1.1.1", "256.1.1.1 0.0.0.0"):
         want = sorted((m.start(), 1, m.end()) for m in pii.IP.finditer(text) if all(len(x.lstrip("0")) < 4 and int(x[-9:]) <= 255 for x in m[0].split(".")))
