@@ -26,10 +26,10 @@ from .words import LOWER, hash_words, mixed, word_places
 
 WORDS = 5
 SIMILARITY = 85  # percent
-M, ROWS = 64, 4  # registers, and of a band; at the similarity asked a link is missed in one of 1e5 cases
+M, ROWS = 128, 4  # registers, and of a band; a link at 0.85 is missed in one of 1e10 cases, at 0.8 in one of 2e7
 LOG_BASE, RATE, TOP = np.log1p(0.001), 20.0, 65_534
-SLACK = 0.2  # the likelihood's estimate may be that much below the similarity (4 standard errors and more)
-MINOR, MAJOR = 512, 4096  # members of a bucket in a block
+SLACK = 0.2  # the likelihood's estimate may be that much below the similarity (5 standard errors and more)
+MINOR = MAJOR = 640  # members of a bucket in a block, of either side
 NULL_ID = 1 << 62  # sorts after all ids and stands for a null one
 
 _rng = np.random.default_rng(977)
@@ -39,6 +39,7 @@ SHIFTS = _rng.integers(1, 1 << 62, M, dtype=np.uint64)
 
 SIGNATURE = "doc_id long, row long, n_shingles long, f1 long, f2 long, sketch binary"
 SETS = "f1 long, f2 long, set binary"
+BLOCK = ["block", "node", "comp", "side", "set"]
 
 
 def shingles(texts: pa.Array, width: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -154,34 +155,17 @@ def _likely(similarity: int):
     return run
 
 
-def _verify(similarity: int):
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for a, b, x, y in zip(*(batch.column(k).to_pylist() for k in ("a", "b", "xa", "xb"))):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                if 100 * common >= similarity * (len(both) - common):
-                    rows.append((a, b))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["a", "b"])
-
-    return run
-
-
 def _blocks(similarity: int):
-    """Over rows sorted by (band, key, block and chunk): links between the block's members and the chunk's,
-    confirmed on full sets. A link is told only where it joins two components."""
+    """Over rows sorted by `block`: links between members on side 0 and on side 1, confirmed on full sets.
+    A link is told only where it joins two components, so a block tells fewer links than it has members."""
 
     def compare(rows):
-        side = [[r for r in rows if r[5] == s] for s in (0, 1)]
+        side = [[r for r in rows if r[3] == s] for s in (0, 1)]
         if not all(side):
             return []
-        node, comp = ([[r[k] for r in s] for s in side] for k in (3, 4))
+        node, comp = ([[r[k] for r in s] for s in side] for k in (1, 2))
         comp = [np.array(c, np.int64) for c in comp]
-        sets = [[np.frombuffer(r[6], np.uint64) for r in s] for s in side]
+        sets = [[np.frombuffer(r[4], np.uint64) for r in s] for s in side]
         sizes = [np.array([*map(len, s)]) for s in sets]
         _, flat = np.unique(np.concatenate([*sets[0], *sets[1]]), return_inverse=True)
         flat = flat.astype(np.int32)
@@ -215,8 +199,8 @@ def _blocks(similarity: int):
             own.clear()
 
         for b in batches:
-            for r in zip(*(b.column(k).to_pylist() for k in ("band", "key", "bc", "node", "comp", "side", "set"))):
-                if own and own[0][:3] != r[:3]:
+            for r in zip(*(b.column(k).to_pylist() for k in BLOCK)):
+                if own and own[0][0] != r[0]:
                     yield from told()
                 own.append(r)
         yield from told()
@@ -268,7 +252,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     key = lambda i: F.substring("sketch", i * 2 * ROWS + 1, 2 * ROWS)
     banded = classes.select("node", F.posexplode(F.array(*(key(i) for i in range(M // ROWS)))).alias("band", "key"))
-    buckets = banded.groupBy("band", "key").agg(F.min("node").alias("least"), F.count("*").alias("size")).where("size > 1")
+    buckets = written(banded.groupBy("band", "key").agg(F.min("node").alias("least"), F.count("*").alias("size")).where("size > 1"), f"{folder}/buckets")
     members = written(banded.join(buckets, ["band", "key"]), f"{folder}/members")
     star = members.where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     side = lambda s: classes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
@@ -290,14 +274,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         every = lambda col: F.sequence(F.lit(0), F.col(col) - 1)
         minor = rest.where("comp != major").withColumn("bc", F.explode(F.transform(every("chunks"), lambda c: pair(spot("blocks", 1), c)))).withColumn("side", F.lit(0))
         major = rest.withColumn("bc", F.explode(F.transform(every("blocks"), lambda b: pair(b, spot("chunks", 2))))).withColumn("side", F.lit(1))
-        dealt = minor.unionByName(major).select("band", "key", F.shiftleft(F.col("bc.b").cast("long"), 32).bitwiseOR(F.col("bc.c").cast("long")).alias("bc"), "node", "comp", "side").join(sets, "node")
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        dealt = dealt.repartition(n, "band", "key", "bc").sortWithinPartitions("band", "key", "bc")
-        more = written(dealt.select("band", "key", "bc", "node", "comp", "side", "set").mapInArrow(_blocks(similarity), "a long, b long"), f"{folder}/links-1")
+        dealt = minor.unionByName(major).select(F.struct("band", "key", "bc").alias("block"), "node", "comp", "side")
+        more = _confirmed(dealt, sets, similarity, f"{folder}/links-1")
         comps = written(components(nodes, links.unionByName(more), f"{folder}/second"), f"{folder}/components-1")
 
+    # what is aggregated by a component is written before it is joined: the planner can then split a hot one
     labelled = classes.select("node", "rep", "f1", "f2").join(comps, "node")
-    least = labelled.groupBy("comp").agg(F.min("rep").alias("component"))
+    least = written(labelled.groupBy("comp").agg(F.min("rep").alias("component")), f"{folder}/least")
     labelled = labelled.join(least, "comp").select("f1", "f2", "component", "comp")
     whole = signed.select("doc_id", "row", "n_shingles", "f1", "f2").join(labelled, ["f1", "f2"], "left")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.when(F.col("component") < NULL_ID, F.col("component")))
@@ -305,21 +288,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not row_col:
         return out.drop("row", "comp")
     best = out.where("comp is not null").groupBy("comp").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NULL_ID)), "row")).alias("best"))
+    best = written(best, f"{folder}/best")
     out = out.join(best.select("comp", F.col("best.row").alias("best")), "comp", "left")
     return out.withColumn("stays", (F.col("n_shingles") == 0) | (F.col("row") == F.col("best"))).drop("comp", "best")
 
 
 def _class_sets(source: DataFrame, classes: DataFrame, wanted: DataFrame, path: str) -> DataFrame:
-    """(node, set) of the classes in `wanted`. Sets are made again, from the texts of these classes alone."""
-    wanted = classes.select("node", "rep", "f1", "f2").join(wanted, "node")
-    ids = wanted.select("rep").distinct()
-    texts = source.join(ids, F.coalesce(source["doc_id"], F.lit(NULL_ID)) == ids["rep"], "left_semi")
-    sets = texts.mapInArrow(_full_sets, SETS).join(wanted.select("node", "f1", "f2"), ["f1", "f2"]).select("node", "set").dropDuplicates(["node"])
-    return written(sets, path)
+    """(node, set) of the classes in `wanted`. Sets are made again, from the texts of these classes alone:
+    of the rows with the classes' smallest ids, and of all rows without an id where a class has none."""
+    wanted = written(classes.select("node", "rep", "f1", "f2").join(wanted, "node"), f"{path}-wanted")
+    texts = source.join(wanted.where(F.col("rep") < NULL_ID).select("rep").distinct(), source["doc_id"] == F.col("rep"), "left_semi")
+    if wanted.where(F.col("rep") == NULL_ID).limit(1).count():
+        texts = texts.unionByName(source.where("doc_id is null"))  # not joined: they would all share one key
+    sets = texts.mapInArrow(_full_sets, SETS).dropDuplicates(["f1", "f2"])  # partial first, so that equal texts are one row of a task
+    return written(sets.join(wanted.select("node", "f1", "f2"), ["f1", "f2"]).select("node", "set"), path)
+
+
+def _confirmed(dealt: DataFrame, sets: DataFrame, similarity: int, path: str) -> DataFrame:
+    """(a, b): links within the blocks of (block, node, comp, side), told on full sets (node, set)."""
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    full = dealt.join(sets, "node").repartition(n, "block").sortWithinPartitions("block")
+    return written(full.select(BLOCK).mapInArrow(_blocks(similarity), "a long, b long"), path)
 
 
 def _links(source: DataFrame, classes: DataFrame, pairs: DataFrame, similarity: int, path: str) -> DataFrame:
-    """The pairs that full sets confirm."""
+    """The pairs (a, b) that full sets confirm, but for those between two nodes that others of a block
+    connect. A hub `a` meets its partners in blocks, with its set once in each."""
     sets = _class_sets(source, classes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{path}-sets")
-    full = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("xa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("xb")), "b")
-    return written(full.mapInArrow(_verify(similarity), "a long, b long"), path)
+    chunks = F.ceil(F.count("*") / MAJOR).cast("int").alias("chunks")
+    hubs = written(pairs.groupBy("a").agg(chunks), f"{path}-hubs")
+    block = lambda chunk: F.struct("a", chunk.alias("chunk")).alias("block")
+    one = hubs.select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("c")).select(block(F.col("c")), F.col("a").alias("node"), F.lit(0).alias("side"))
+    other = pairs.join(hubs, "a").select(block(F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int")), F.col("b").alias("node"), F.lit(1).alias("side"))
+    dealt = one.unionByName(other).withColumn("comp", F.col("node"))
+    return _confirmed(dealt, sets, similarity, path)
