@@ -13,9 +13,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .shared import shared_dir, written
 
@@ -23,28 +22,56 @@ WEIGHTS = (5.0, 2.0, 1.0)  # repeating over the sources in order
 SHARE = 1.5  # of all words
 MOST = 2.0  # times a source's size
 BLOCK = 4096  # documents that fly together
-MAX_SOURCES = 1_000_000  # more are refused: the table of sources is worked on at the driver
-
-UNIT = "row long, source string, block long, size long, part double, open boolean"
-
-
-def source_targets(sizes: dict, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> dict:
-    """Words to take from each source: `share` of all words by weight, none above `most` times its
-    size; what is above is shared again among the others."""
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    target, rest, free = {}, share * sum(sizes.values()), set(order)
-    while free:
-        total = sum(weight[s] for s in order if s in free)
-        over = [s for s in order if s in free and rest * weight[s] / total >= most * sizes[s]]
-        if not over:
-            target |= {s: rest * weight[s] / total for s in free}
+BROADCAST = 16 << 20  # bytes of sources and their rates up to which they are broadcast
+SALTS = 64  # parts of each source beyond that
+
+UNIT = "row long, o long, source string, block long, size long, part double, open boolean"
+
+
+def source_rates(units: DataFrame, folder: str, weights=WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK) -> DataFrame:
+    """source, source_size, target, copies, part, blocks: a row for each source of (source, size).
+
+    Target: words to take from a source: `share` of all words by weight, none above `most` times its
+    size; what is above is shared again among the others. Words per weight rise from round to round until
+    no further source is full; each round is one aggregate of the table of sources, which is never collected.
+    The rounds are Newton's method on a concave function of pieces that are straight: few, and exact.
+    """
+    spark, parts = units.sparkSession, int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sums = units.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    # a source's place in the order: its place in its range of sources, and how many come in the ranges before
+    order = [F.col("source").isNull(), F.col("source")]
+    at = F.monotonically_increasing_id()
+    placed = written(sums.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("*", at.alias("at")), f"{folder}/placed")
+    ranges = placed.groupBy(F.shiftright("at", 33).alias("range")).agg(F.count("*").alias("own")).orderBy("range").collect()  # `parts` at most
+    before = [(r["range"], sum(x["own"] for x in ranges[:i])) for i, r in enumerate(ranges)]
+    placed = placed.withColumn("range", F.shiftright("at", 33)).join(F.broadcast(spark.createDataFrame(before, "range long, before long")), "range")
+    place = F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    sources = written(placed.select("source", "source_size", "n", (place % len(weights)).cast("int").alias("turn")), f"{folder}/sources")
+    weight, cap = F.element_at(F.array(*map(F.lit, weights)), F.col("turn") + 1), F.lit(most) * F.col("source_size")
+    each, known, all_words = 0.0, -1, sources.agg(F.sum("source_size")).first()[0] or 0
+    while True:
+        full = F.lit(each) * weight >= cap
+        free = [F.count_if(~full & (F.col("turn") == i)) for i in range(len(weights))]  # whole numbers, so that no order of addition matters
+        n, held, *free = sources.agg(F.count_if(full), F.sum(F.when(full, F.col("source_size"))), *free).first()
+        if n == known or not sum(free):
             break
-        for s in over:
-            target[s] = most * sizes[s]
-            free.discard(s)
-        rest = max(0.0, rest - sum(target[s] for s in over))
-    return target
+        known, each = n, max(0.0, share * all_words - most * (held or 0)) / sum(k * w for k, w in zip(free, weights))
+    target = F.least(F.lit(each) * weight, cap) if sum(free) else cap
+    ratio = F.when(F.col("source_size") > 0, target / F.col("source_size")).otherwise(0.0)
+    copies = F.floor(ratio + 1e-12)
+    return sources.select("source", "source_size", target.alias("target"), copies.alias("copies"), F.greatest(F.lit(0.0), ratio - copies).alias("part"), F.ceil(F.col("n") / block).cast("long").alias("blocks"))
+
+
+def rated(units: DataFrame, rates: DataFrame, folder: str) -> DataFrame:
+    """Units with their source's rates. While the names are known to be few, their table is broadcast. Else
+    both sides are salted, so that a source which holds a third of all units is many tasks' work."""
+    rates = written(rates.withColumn("name", F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))).drop("source"), f"{folder}/rates")
+    units = units.withColumn("name", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
+    size = rates.agg(F.sum(F.length("name").cast("long") * 4 + 64)).first()[0] or 0
+    if size <= BROADCAST:
+        return units.join(F.broadcast(rates), "name").drop("name")
+    units = units.withColumn("salt", F.pmod("o", F.lit(SALTS)).cast("int"))
+    return units.join(rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["name", "salt"]).drop("name", "salt")
 
 
 def fly(sizes: list[int], parts: list[float], seed: int) -> list[float]:
@@ -89,14 +116,14 @@ def _flight(seed: int):
         own: list = []
 
         def flown():
-            parts = fly([r[3] for r in own], [r[4] for r in own], (hash_of(own[0][1]) * 31 + own[0][2] + seed) % (1 << 63))
-            rows = [(r[0], r[1], r[2], r[3], p, 0.0 < p < 1.0) for r, p in zip(own, parts)]
-            types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["row", "source", "block", "size", "part", "open"])
+            parts = fly([r[4] for r in own], [r[5] for r in own], (hash_of(own[0][2]) * 31 + own[0][3] + seed) % (1 << 63))
+            rows = [(*r[:5], p, 0.0 < p < 1.0) for r, p in zip(own, parts)]
+            types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["row", "o", "source", "block", "size", "part", "open"])
 
         for b in batches:
-            for r in zip(*(b.column(k).to_pylist() for k in ("row", "source", "block", "size", "part"))):
-                if own and (own[0][1], own[0][2]) != (r[1], r[2]):
+            for r in zip(*(b.column(k).to_pylist() for k in ("row", "o", "source", "block", "size", "part"))):
+                if own and own[0][2:4] != r[2:4]:
                     yield flown()
                     own.clear()
                 own.append(r)
@@ -112,35 +139,47 @@ def hash_of(source: str | None) -> int:
     return 0 if source is None else 1 + zlib.crc32(source.encode())
 
 
+def told_apart(units: DataFrame, folder: str) -> DataFrame:
+    """Units with `again`, which tells rows of equal content apart: 0, 1, ... in whatever files and parts they come.
+
+    Rows are counted within a part of the table, then a part's counts go on from those of the parts before;
+    so a content that fills the table is never one task's work."""
+    content = ["doc_id", "source", "size", "mark"]
+    own = units.withColumn("turn", F.row_number().over(Window.partitionBy(*content, "place").orderBy("row")) - 1)
+    counts = written(units.groupBy(*content, "place").agg(F.count("*").alias("n")), f"{folder}/counts")
+    earlier = F.sum("n").over(Window.partitionBy(*content).orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    earlier = counts.withColumn("earlier", earlier).where("earlier > 0")
+    same = [F.col(f"u.{c}").eqNullSafe(F.col(f"e.{c}")) for c in (*content, "place")]
+    out = own.alias("u").join(earlier.alias("e"), same, "left")
+    return out.select(*(F.col(f"u.{c}") for c in (*content, "row")), (F.col("u.turn") + F.coalesce("e.earlier", F.lit(0))).alias("again"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 7, row_col: str | None = None, block: int = BLOCK) -> DataFrame:
     """doc_id, size, source_size, target, taken: one row for each row of `docs`.
 
-    size is the number of words between ASCII blanks (null text: 0), taken the words that the mix
-    takes of the document, whole copies but for a few partly taken ones, at most ceil(most) times its
-    size. Sources go by code point, null last; weights repeat over them. Documents without words take
-    nothing. Repeated rows and null ids are documents of their own. The draw depends on the seed and
-    the rows alone, so reruns agree; other columns are ignored; an empty table gives no rows.
-    `row_col` (a unique long) is returned as `row` beside the id.
+    size is the number of words between ASCII blanks of the whole text, however long (null text: 0), taken
+    the words that the mix takes of the document, whole copies but for a few partly taken ones, at most
+    ceil(most) times its size. Sources go by code point, null last, in any number; weights repeat over them.
+    Documents without words take nothing. Repeated rows and null ids are documents of their own. The draw
+    depends on the seed and on the rows' contents alone, not on files or partitions, so reruns agree (of
+    rows that are equal throughout, which one takes more is left open, how many do is not); other columns
+    are ignored; an empty table gives no rows. `row_col` (a unique long) is returned as `row` beside the id.
     """
     spark = docs.sparkSession
     folder = shared_dir(spark, "mixing")
     row = F.col(row_col).cast("long") if row_col else F.monotonically_increasing_id()
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
-    units = written(docs.select(row.alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size")), f"{folder}/units")
-    by_source = units.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(by_source) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    sizes = {r["source"]: r["size"] for r in by_source}
-    targets = source_targets(sizes, weights, share, most)
-    ratio = {s: targets[s] / n if n else 0.0 for s, n in sizes.items()}
-    schema = T.StructType([T.StructField("source", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("copies", T.LongType()), T.StructField("part", T.DoubleType()), T.StructField("blocks", T.LongType())])
-    table = [(r["source"], r["size"], targets[r["source"]], int(ratio[r["source"]] + 1e-12), max(0.0, ratio[r["source"]] - int(ratio[r["source"]] + 1e-12)), -(-r["n"] // block)) for r in by_source]
-    rates = F.broadcast(spark.createDataFrame(table, schema))  # bounded by MAX_SOURCES
-    known = units.join(rates, units["source"].eqNullSafe(rates["source"])).drop(rates["source"])
+    mark = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    units = docs.select(row.alias("row"), F.spark_partition_id().alias("place"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), mark.alias("mark"))
+    units = written(units, f"{folder}/units")
+    rates = source_rates(units, folder, weights, share, most, block)
+    units = told_apart(units, folder).withColumn("o", F.xxhash64(F.lit(seed), "doc_id", "size", "mark", "again"))
+    known = written(rated(units, rates, folder).drop("again", "mark"), f"{folder}/known")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = F.xxhash64(F.lit(seed), "doc_id", "size")
-    flying = known.select("row", "source", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "size", "row"), F.col("blocks")).alias("block"), "size", "part", order.alias("o"))
-    first = flying.repartition(parts, "source", "block").sortWithinPartitions("source", "block", "o", "row").drop("o").mapInArrow(_flight(seed), UNIT)
+    dealt = lambda level, blocks: F.pmod(F.xxhash64(F.lit(seed + 1 + level), "o"), blocks).alias("block")
+    flying = known.select("row", "o", "source", dealt(0, F.col("blocks")), "size", "part")
+    sort = ["source", "block", "o", "size", "row"]
+    first = flying.repartition(parts, "source", "block").sortWithinPartitions(*sort).mapInArrow(_flight(seed), UNIT)
     flown = written(first, f"{folder}/flown-0")
     settled, rest, level = [flown.where("not open")], flown.where("open"), 0
     while True:
@@ -148,8 +187,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         level += 1
         widest = rest.groupBy("source").count().agg(F.max("count")).first()[0] or 0
         blocks = -(-widest // block) or 1
-        again = rest.withColumn("block", F.pmod(F.xxhash64(F.lit(seed + level), "row"), F.lit(blocks)))
-        again = again.repartition(parts, "source", "block").sortWithinPartitions("source", "block", "row").drop("open").mapInArrow(_flight(seed + level), UNIT)
+        again = rest.select("row", "o", "source", dealt(level, F.lit(blocks)), "size", "part")
+        again = again.repartition(parts, "source", "block").sortWithinPartitions(*sort).mapInArrow(_flight(seed + level), UNIT)
         flown = written(again, f"{folder}/flown-{level}")
         if blocks == 1:
             settled.append(flown)

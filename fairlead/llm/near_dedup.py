@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import joined_bytes, shared_dir, slices, written
+from .shared import joined_bytes, release, shared_dir, slices, written
 from .words import LOWER, hash_words, mixed, word_places
 
 WORDS = 5
@@ -243,10 +243,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     then row, and for all rows without words.
     """
     spark = docs.sparkSession
-    folder = shared_dir(spark, "near-dedup")
+    keep = shared_dir(spark, "near-dedup")
+    folder = f"{keep}/work"
     row = (F.col(row_col) if row_col else F.lit(None)).cast("long")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), row.alias("row"), F.col(text_col).cast("string").alias("text"))
-    signed = written(source.mapInArrow(_sign, SIGNATURE), f"{folder}/signatures")
+    signed = written(source.mapInArrow(_sign, SIGNATURE), f"{keep}/signatures")
     classes = signed.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = written(classes.select(F.monotonically_increasing_id().alias("node"), "*"), f"{folder}/classes")
 
@@ -281,14 +282,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # what is aggregated by a component is written before it is joined: the planner can then split a hot one
     labelled = classes.select("node", "rep", "f1", "f2").join(comps, "node")
     least = written(labelled.groupBy("comp").agg(F.min("rep").alias("component")), f"{folder}/least")
-    labelled = labelled.join(least, "comp").select("f1", "f2", "component", "comp")
+    labelled = written(labelled.join(least, "comp").select("f1", "f2", "component", "comp"), f"{keep}/classes")
+    release(spark, folder)
     whole = signed.select("doc_id", "row", "n_shingles", "f1", "f2").join(labelled, ["f1", "f2"], "left")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.when(F.col("component") < NULL_ID, F.col("component")))
     out = whole.select("doc_id", "n_shingles", own.alias("component_id"), "row", "comp").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     if not row_col:
         return out.drop("row", "comp")
     best = out.where("comp is not null").groupBy("comp").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NULL_ID)), "row")).alias("best"))
-    best = written(best, f"{folder}/best")
+    best = written(best, f"{keep}/best")
     out = out.join(best.select("comp", F.col("best.row").alias("best")), "comp", "left")
     return out.withColumn("stays", (F.col("n_shingles") == 0) | (F.col("row") == F.col("best"))).drop("comp", "best")
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -18,20 +22,47 @@ BLANKS = b" \t\n\x0b\x0c\r"
 SLICE_BYTES = 4 << 20
 
 
+_within: ContextVar[str | None] = ContextVar("within", default=None)
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder that the driver and all executors see, as a URI.
 
-    It lies in spark.checkpoint.dir; a folder of our own is made only where that is unset.
+    It lies in spark.checkpoint.dir. Where that is unset, a local master gets a folder of its own, which is
+    deleted at exit; on a cluster it is an error, for a folder of the driver's machine is none of the executors'.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    base = _within.get() or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='fairlead-')}"
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
+        own = tempfile.mkdtemp(prefix="fairlead-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        base = f"file://{own}"
         spark.sparkContext.setCheckpointDir(base)
     if "://" not in base and not base.startswith("file:"):
         base = f"file://{base}"
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of ours whose rows are not needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+@contextmanager
+def workspace(spark: SparkSession, label: str):
+    """Shared folders made within it lie in it, and go with it at the end: what is to stay must be written elsewhere."""
+    folder = shared_dir(spark, label)
+    token = _within.set(folder)
+    try:
+        yield folder
+    finally:
+        _within.reset(token)
+        release(spark, folder)
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a URI and the path in it."""
     if uri.startswith("file:"):

@@ -8,6 +8,7 @@ from fairlead.llm import quality
 from fairlead.llm.shared import shared_dir, written
 
 from .conftest import texts_of
+from .test_mixing import source_targets
 from .test_near_dedup import brute as near_brute
 
 SF = "/root/testdata/sf0.01"
@@ -40,7 +41,7 @@ def test_exact_dedup_keeps_one_of_equal_texts(stages):
 
 
 def test_near_dedup_keeps_one_of_each_component(stages):
-    want = {i for i, _, _, kept in near_brute(texts_of(stages[2])) if kept}
+    want = {i for i, _, _, kept in near_brute(texts_of(stages[2]), 80) if kept}
     assert {r["doc_id"] for r in stages[3].collect()} == want and stages[3].count() == len(want)
 
 
@@ -59,8 +60,6 @@ def test_numbers_stay_when_files_are_split_otherwise(spark):
 
 
 def test_mixing_meets_the_targets(stages):
-    from fairlead.llm.mixing import source_targets
-
     size, taken, source, text = Counter(), Counter(), {}, {}
     for r in stages[3].collect():
         size[r["source"]] += len(WORD.findall(r["text"]))
