@@ -8,14 +8,17 @@ through every stage.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairlead.llm import exact_dedup, mixing, near_dedup, packing, quality
 from fairlead.llm.registry import table, tokenizer_path
-from fairlead.llm.shared import shared_dir, written
+from fairlead.llm.shared import release, shared_dir, workspace, written
 
+SIMILARITY = 80  # percent, of near copies
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -33,36 +36,41 @@ def numbered(docs: DataFrame) -> DataFrame:
     return placed.join(F.broadcast(order), "_file").select(*COLUMNS, row)
 
 
+def decided(spark: SparkSession, label: str, decide: Callable[[], DataFrame]) -> DataFrame:
+    """What an operator decides on rows, written, with their numbers; the files that it made on the way go."""
+    path = f"{shared_dir(spark, 'pipeline')}/{label}"
+    with workspace(spark, label):
+        return written(decide().withColumnRenamed("row", "_row"), path)
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose predicted quality is 1; the labels of the corpus train the classifier."""
     docs = numbered(docs)
-    scored = quality.classify(docs, table(spark, sf_dir, "labels"), row_col="_row")
-    kept = scored.where("predicted = 1").select(F.col("row").alias("_row"))
+    labels = table(spark, sf_dir, "labels")
+    kept = decided(spark, "quality", lambda: quality.classify(docs, labels, row_col="_row").where("predicted = 1").select("row"))
     return docs.join(kept, "_row", "left_semi").select(COLUMNS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts: the longest, then that with the smallest id."""
     docs = numbered(docs)
-    found = exact_dedup.exact_dedup(docs, row_col="_row")
-    kept = found.where("kept").select(F.col("row").alias("_row"))
+    kept = decided(spark, "copies", lambda: exact_dedup.exact_dedup(docs, row_col="_row").where("kept").select("row"))
     return docs.join(kept, "_row", "left_semi").select(COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: that with the smallest id. Documents without
-    words link with nothing and stay."""
+    """One document of each component of near copies, which are alike by 80 percent of their shingles of
+    five words: that with the smallest id. Documents without words link with nothing and stay."""
     docs = numbered(docs)
-    found = near_dedup.near_duplicates(docs, row_col="_row")
-    kept = found.where("stays").select(F.col("row").alias("_row"))
+    kept = decided(spark, "near-copies", lambda: near_dedup.near_duplicates(docs, similarity=SIMILARITY, row_col="_row").where("stays").select("row"))
     return docs.join(kept, "_row", "left_semi").select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: whole copies, and a partly taken one cut after the
     words taken. Documents that it does not take go."""
-    docs = written(numbered(docs), f"{shared_dir(spark, 'pipeline')}/numbered")
-    taken = mixing.mix(docs, row_col="_row").where("taken > 0").select(F.col("row").alias("_row"), "size", "taken")
+    docs = numbered(docs)
+    taken = decided(spark, "mix", lambda: mixing.mix(docs, row_col="_row").where("taken > 0").select("row", "size", "taken"))
     times = F.ceil(F.col("taken") / F.col("size")).cast("int")
     out = docs.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), times)))
     left = (F.col("taken") - (F.col("_copy") - 1) * F.col("size")).cast("int")
@@ -93,4 +101,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, docs = shared_dir(spark, "corpus"), table(spark, sf_dir, "documents")
     for n, (_, stage) in enumerate(STAGES[:-1]):
         docs = written(stage(spark, docs, sf_dir), f"{folder}/{n}")
+        if n:
+            release(spark, f"{folder}/{n - 1}")  # its successor is written
     return STAGES[-1][1](spark, docs, sf_dir)
