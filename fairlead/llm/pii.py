@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +30,7 @@ KINDS = ("email", "ip", "card", "phone")
 # fixed values: the base patterns
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")  # begins where digits do: a match from later on would also match from there
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -46,7 +47,8 @@ SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:{WORD}|[0-9]+)(?:[\x20,.-]{{1,2}}(?:{
 PART = re.compile(rf"{WORD}|[0-9]+", re.I | re.A)
 AT = re.compile(r"\s*[(\[{<]\s*at\s*[)\]}>]\s*|\s+at\s+", re.I)
 DOT = re.compile(r"\s*[(\[{<]\s*(?:dot|punkt|point|punto)\s*[)\]}>]\s*|\s+dot\s+", re.I)
-HIDDEN = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\.|{DOT.pattern})[A-Za-z0-9_%+-]+)*(?P<at>{AT.pattern}|\s*@\s*)[A-Za-z0-9-]+(?:(?:\.|{DOT.pattern})[A-Za-z0-9-]+)+", re.I)
+#: A chain of words, and with it the rest of an address if there is one: no chain is tried again from its middle.
+HIDDEN = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]++(?:(?:\.|{DOT.pattern})[A-Za-z0-9_%+-]+)*+(?:(?P<at>{AT.pattern}|\s*@\s*)[A-Za-z0-9-]++(?:(?:\.|{DOT.pattern})[A-Za-z0-9-]+)++)?", re.I)
 #: Signs of disguise: every text that a transducer edits has one, and a text without any is not rewritten.
 SIGN = re.compile(rf"[{WIDTHLESS}Ͱ-ӿԀ-ԯɡ！-～]|[(\[{{<]\s*(?:at|dot|punkt|point|punto)\s*[)\]}}>]|\sdot\s|\s@|@\s|(?<!(?-i:[A-Za-z0-9]))(?:{WORD})[\x20,.-]{{1,2}}(?:{WORD}|[0-9])", re.I)
 
@@ -152,7 +154,7 @@ def disguised(text: str) -> list[tuple[int, int, str]]:
     edits = []
     for m in HIDDEN.finditer(text):
         whole, at = m[0], m["at"]
-        if at == "@" and not DOT.search(whole):
+        if at is None or at == "@" and not DOT.search(whole):
             continue
         if at.strip().lower() == "at" and not DOT.search(text, m.end("at"), m.end()):
             continue
@@ -165,8 +167,9 @@ def disguised(text: str) -> list[tuple[int, int, str]]:
 
 
 def spans(text: str) -> tuple[list, list]:
-    """Base spans, and base and added spans together, as (start, kind, end) in code points. An added
-    span that overlaps a base one of its kind is left out."""
+    """Base spans, and base and added spans together, as (start, kind, end) in code points. An added span
+    that lies within a base one of its kind is left out; one that reaches beyond it is a wider identifier,
+    of which the base one is the plain rest, and stands beside it."""
     base = detect(text)
     if not SIGN.search(text):
         return base, base
@@ -175,10 +178,14 @@ def spans(text: str) -> tuple[list, list]:
         tape.rewrite(transducer(tape.text))
     if tape.text == text:
         return base, base
+    # base spans of a kind do not overlap: of those that begin no later, the last is the only one that can hold another
+    of_kind = [[x for x in base if x[1] == k] for k in range(len(KINDS))]
     added = set()
     for s, kind, e in detect(tape.text):
         s, e = tape.source(s, e)
-        if not any(k == kind and bs < e and s < be for bs, k, be in base):
+        own = of_kind[kind]
+        i = bisect_right(own, (s, kind, len(text))) - 1
+        if i < 0 or own[i][2] < e:
             added.add((s, kind, e))
     return base, sorted({*base, *added})
 
@@ -210,7 +217,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Counts and hash are of the base spans, `spans` lists all as kind:start:end by start, then kind, in
     code points of the source, end exclusive. Null texts count as empty; ids may repeat or be null;
-    other columns are ignored; an empty table gives no rows; texts are read whole. Nothing is shuffled.
+    other columns are ignored; an empty table gives no rows. Texts are read whole, in time that grows with
+    their length alone. Nothing is shuffled.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(_run, SCHEMA)

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -75,6 +76,31 @@ def test_disguises_need_no_other_sign(text, found):
     assert [f"{pii.KINDS[k]}:{text[s:e]}" for s, k, e in every if (s, k, e) not in base] == [found]
 
 
+@pytest.mark.parametrize(
+    "text,found",
+    [
+        ("bob@mail.exаmple.com", ["email:bob@mail.ex", "email:bob@mail.exаmple.com"]),
+        ("first [dot] last@host.com", ["email:first [dot] last@host.com", "email:last@host.com"]),
+        ("bob (dot) smith@host.com.", ["email:bob (dot) smith@host.com", "email:smith@host.com"]),
+        ("bob@mail.host (dot) com", ["email:bob@mail.host", "email:bob@mail.host (dot) com"]),
+    ],
+)
+def test_wider_spans_stand_beside_base_ones(text, found):
+    base, every = pii.spans(text)
+    assert sorted(f"{pii.KINDS[k]}:{text[s:e]}" for s, k, e in every) == found and len(base) == 1
+
+
+@pytest.mark.parametrize(
+    "unit",
+    ["7", "a", "a.", "1.", "1 ", "+1", "@", "a@", "@a", "a dot ", "dot ", " at ", "(", "( at", "one ", "one1", "1-", "\u0430", "a\u0430", " ", "a\u0430@b.c ", "x (at) y ", "1.1.1.1 ", "\u200b", "bob (dot) smith@host.com ", "[dot]"],
+)
+def test_a_text_of_a_megabyte_takes_seconds(unit):
+    text = unit * ((1 << 20) // len(unit))
+    start = time.perf_counter()
+    base, every = pii.spans(text)
+    assert time.perf_counter() - start < 20 and set(base) <= set(every)
+
+
 def test_long_numbers_in_addresses():
     for text in ("0000000000300.1.1.1", "000255.1.1.1", "1" * 5000 + ".1.1.1", "256.1.1.1 0.0.0.0"):
         want = sorted((m.start(), 1, m.end()) for m in pii.IP.finditer(text) if all(len(x.lstrip("0")) < 4 and int(x[-9:]) <= 255 for x in m[0].split(".")))
