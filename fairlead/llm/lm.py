@@ -330,7 +330,7 @@ def _score(order: int, chances, frequent, unit: float, denominator: float, end:
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_fold: int = 1, order: int = ORDER, cells: int | None = None, frequent: int = FREQUENT, held_grams: int = GRAMS) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_fold: int = 1, order: int = ORDER, frequent: int = FREQUENT, held_grams: int = GRAMS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row for each row of `docs`.
 
     Learns from rows whose crc32(id as text) mod 5 is not `held_fold`. Words are lower-cased in A-Z and
@@ -338,6 +338,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
     probability with 0.5 added to counts, score the PPM's of the lower-cased bytes and the end. Null
     texts count as empty, null ids as the empty id; repeated rows are learnt and scored each; other
     columns are ignored. Without training rows every symbol is equally likely. An empty table gives no rows.
+    Texts are scored whole, a slice of 2 MB or one longer text at a time; the order is the same at every size.
     """
     spark = docs.sparkSession
     folder = shared_dir(spark, "lm")
@@ -349,12 +350,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
     tokens, unit, denominator = total + end, 0.5, total + end + 0.5 * (kinds + (end > 0) + 1)
 
     grams = written(parts.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")), f"{folder}/grams")
-    if cells is not None:
-        symbols = grams.select(F.expr(seen_shorter(0)).alias("s")).distinct().count() + 2
-        while order > 0 and sum(grams.select(F.expr(f"(gram >> 8) & {(1 << 8 * k) - 1}").alias("c")).distinct().count() for k in range(order + 1)) * symbols > cells:
-            order -= 1
-            grams = grams.select(F.expr(seen_shorter(order)).alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n"))
-        grams = written(grams, f"{folder}/lowered")
     by_order, contexts = trie(grams, order, folder)
     seen = grams.withColumn("context", F.shiftright("gram", 8)).join(contexts[order], "context")
     seen = written(seen.select("gram", "n", seen_log().alias("log")), f"{folder}/seen")

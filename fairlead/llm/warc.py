@@ -3,7 +3,9 @@
 Writing: each task streams its records into one archive in the shared folder, a gzip member for each
 record, and returns an index row for each: archive, offset, length, URL, payload digest. Equal payloads
 are one response and revisits of it, settled beforehand on digests alone (pre-aggregated, so a payload
-that fills the table is one row for each task).
+that fills the table is one row for each task). What was settled for the repeated digests goes to the
+writing tasks by broadcast while it is known to be small, so that no payload is shuffled; beyond that
+by a join, of which the planner can split a hot digest's partition.
 
 Reading: index rows are selected first, with DataFrame operations; what was selected is dealt by
 stretches of the archives, sorted by offset, and neighbouring ranges are read at once.
@@ -24,6 +26,7 @@ from .shared import as_bytes, filesystem, shared_dir, slices, written
 
 GAP = 64 << 10  # bytes between two selected records that are read along
 READ = 8 << 20  # bytes of one read at most (but for a longer record)
+BROADCAST = 64 << 20  # bytes of repeated digests, with id and URL of their responses, up to which they are broadcast
 STRETCH = 32 << 20  # bytes of an archive that one reading task gets together
 DATE = "2000-01-01T00:00:00Z"  # records carry no clock time, so that reruns write the same bytes
 
@@ -113,7 +116,9 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     rows = rows.withColumn("hex", F.sha1("payload"))
     best = F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")))
     keep = rows.groupBy("hex").agg(best.alias("best"), F.count("*").alias("n")).where("n > 1").select("hex", F.col("best.page_id").alias("best_id"), F.col("best.url").alias("best_url"))
-    known = rows.join(keep, "hex", "left")
+    keep = written(keep, f"{folder}/repeated")
+    size = keep.agg(F.sum(F.lit(120) + 4 * F.coalesce(F.length("best_url"), F.lit(0)).cast("long"))).first()[0] or 0
+    known = rows.join(F.broadcast(keep) if size <= BROADCAST else keep, "hex", "left")
     other = F.col("best_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("best_id"))
     known = known.select("page_id", "url", "payload", "hex", F.when(other, F.col("best_id")).alias("keep_id"), F.when(other, F.col("best_url")).alias("keep_url"))
     return written(known.mapInArrow(_write(f"{folder}/archives"), INDEX), f"{folder}/index")
@@ -185,7 +190,7 @@ def read_records(spark: SparkSession, index: DataFrame, folder: str, verify: boo
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of each page's record, written
-    and read back; see `write_archives` for odd rows."""
+    and read back; see `write_archives` for odd rows. Payloads of any length are written whole."""
     spark = pages.sparkSession
     folder = shared_dir(spark, "warc")
     index = write_archives(pages, folder)

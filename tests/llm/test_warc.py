@@ -27,7 +27,9 @@ def pages(spark, sf):
     return spark.read.parquet(f"{sf}/pages.parquet")
 
 
-def test_round_trip(spark, pages):
+@pytest.mark.parametrize("broadcast", [0, warc.BROADCAST])
+def test_round_trip(spark, pages, monkeypatch, broadcast):
+    monkeypatch.setattr(warc, "BROADCAST", broadcast)
     odd = [(1, None, None), (2, "http://a", ""), (3, "http://a b\r\nX: 1", "x\r\n\r\ny"), (4, None, "x\r\n\r\ny"), (4, None, "x\r\n\r\ny"), (None, "u", "x\r\n\r\ny"), (None, "u", "z"), (None, "u", "z"), (7, "http://é", "漢🙂" * 300_000)]
     odd = spark.createDataFrame([(*r, "clash") for r in odd], "page_id long, url string, html string, hex string").repartition(3)
     for own in (odd, pages, pages.limit(0)):
