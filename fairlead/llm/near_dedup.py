@@ -30,6 +30,7 @@ M, ROWS = 128, 4  # registers, and of a band; a link at 0.85 is missed in one of
 LOG_BASE, RATE, TOP = np.log1p(0.001), 20.0, 65_534
 SLACK = 0.2  # the likelihood's estimate may be that much below the similarity (5 standard errors and more)
 MINOR = MAJOR = 640  # members of a bucket in a block, of either side
+WEIGHT = 1 << 20  # shingles of either side of a block, about (but for a set that has more)
 NULL_ID = 1 << 62  # sorts after all ids and stands for a null one
 
 _rng = np.random.default_rng(977)
@@ -150,7 +151,7 @@ def _likely(similarity: int):
                 x, y = (_sketches(b.column(k).take(pa.array(keep))) for k in ("sa", "sb"))
                 keep = keep[likeliest(x, y, na[keep], nb[keep]) >= similarity / 100 - SLACK]
             if len(keep):
-                yield pa.RecordBatch.from_arrays([b.column("a").take(pa.array(keep)), b.column("b").take(pa.array(keep))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([b.column(k).take(pa.array(keep)) for k in ("a", "b", "nb")], names=["a", "b", "nb"])
 
     return run
 
@@ -198,11 +199,12 @@ def _blocks(similarity: int):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
             own.clear()
 
-        for b in batches:
-            for r in zip(*(b.column(k).to_pylist() for k in BLOCK)):
-                if own and own[0][0] != r[0]:
-                    yield from told()
-                own.append(r)
+        for batch in batches:
+            for b in slices(batch, "set"):
+                for r in zip(*(b.column(k).to_pylist() for k in BLOCK)):
+                    if own and own[0][0] != r[0]:
+                        yield from told()
+                    own.append(r)
         yield from told()
 
     return run
@@ -252,21 +254,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = written(classes.select(F.monotonically_increasing_id().alias("node"), "*"), f"{folder}/classes")
 
     key = lambda i: F.substring("sketch", i * 2 * ROWS + 1, 2 * ROWS)
-    banded = classes.select("node", F.posexplode(F.array(*(key(i) for i in range(M // ROWS)))).alias("band", "key"))
+    banded = classes.select("node", "n", F.posexplode(F.array(*(key(i) for i in range(M // ROWS)))).alias("band", "key"))
     buckets = written(banded.groupBy("band", "key").agg(F.min("node").alias("least"), F.count("*").alias("size")).where("size > 1"), f"{folder}/buckets")
     members = written(banded.join(buckets, ["band", "key"]), f"{folder}/members")
     star = members.where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     side = lambda s: classes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
-    likely = written(star.join(side("a"), "a").join(side("b"), "b").mapInArrow(_likely(similarity), "a long, b long"), f"{folder}/likely-0")
+    likely = written(star.join(side("a"), "a").join(side("b"), "b").mapInArrow(_likely(similarity), "a long, b long, nb long"), f"{folder}/likely-0")
     links = _links(source, classes, likely, similarity, f"{folder}/links-0")
     nodes = classes.select("node")
     comps = written(components(nodes, links, f"{folder}/first"), f"{folder}/components-0")
 
     # buckets that hold several components yet, without their smallest class, which met all others
-    known = members.where("node != least").select("band", "key", "node").join(comps, "node")
-    parts = known.groupBy("band", "key", "comp").agg(F.count("*").alias("own"))
-    mixed_up = parts.groupBy("band", "key").agg(F.count("*").alias("k"), F.sum("own").alias("size"), F.max(F.struct("own", "comp")).alias("major")).where("k > 1")
-    mixed_up = mixed_up.select("band", "key", F.col("major.comp").alias("major"), F.ceil((F.col("size") - F.col("major.own")) / MINOR).cast("int").alias("blocks"), F.ceil(F.col("size") / MAJOR).cast("int").alias("chunks"))
+    known = members.where("node != least").select("band", "key", "node", "n").join(comps, "node")
+    parts = known.groupBy("band", "key", "comp").agg(F.count("*").alias("own"), F.sum("n").alias("weight"))
+    mixed_up = parts.groupBy("band", "key").agg(F.count("*").alias("k"), F.sum("own").alias("size"), F.sum("weight").alias("weight"), F.max(F.struct("own", "comp", "weight")).alias("major")).where("k > 1")
+    minor = [F.col(x) - F.col(f"major.{y}") for x, y in (("size", "own"), ("weight", "weight"))]
+    mixed_up = mixed_up.select("band", "key", F.col("major.comp").alias("major"), _shares(*minor, MINOR).alias("blocks"), _shares(F.col("size"), F.col("weight"), MAJOR).alias("chunks"))
     rest = written(known.join(mixed_up, ["band", "key"]), f"{folder}/rest")
     if rest.limit(1).count():
         sets = _class_sets(source, classes, rest.select("node").distinct(), f"{folder}/rest-sets")
@@ -306,6 +309,11 @@ def _class_sets(source: DataFrame, classes: DataFrame, wanted: DataFrame, path:
     return written(sets.join(wanted.select("node", "f1", "f2"), ["f1", "f2"]).select("node", "set"), path)
 
 
+def _shares(size, weight, most: int):
+    """Into how many parts so many sets with so many shingles are dealt."""
+    return F.greatest(F.ceil(size / most), F.ceil(weight / WEIGHT)).cast("int")
+
+
 def _confirmed(dealt: DataFrame, sets: DataFrame, similarity: int, path: str) -> DataFrame:
     """(a, b): links within the blocks of (block, node, comp, side), told on full sets (node, set)."""
     n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -317,8 +325,8 @@ def _links(source: DataFrame, classes: DataFrame, pairs: DataFrame, similarity:
     """The pairs (a, b) that full sets confirm, but for those between two nodes that others of a block
     connect. A hub `a` meets its partners in blocks, with its set once in each."""
     sets = _class_sets(source, classes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{path}-sets")
-    chunks = F.ceil(F.count("*") / MAJOR).cast("int").alias("chunks")
-    hubs = written(pairs.groupBy("a").agg(chunks), f"{path}-hubs")
+    hubs = pairs.groupBy("a").agg(F.count("*").alias("size"), F.sum("nb").alias("weight"))
+    hubs = written(hubs.select("a", _shares(F.col("size"), F.col("weight"), MAJOR).alias("chunks")), f"{path}-hubs")
     block = lambda chunk: F.struct("a", chunk.alias("chunk")).alias("block")
     one = hubs.select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("c")).select(block(F.col("c")), F.col("a").alias("node"), F.lit(0).alias("side"))
     other = pairs.join(hubs, "a").select(block(F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int")), F.col("b").alias("node"), F.lit(1).alias("side"))
