@@ -5,6 +5,11 @@ Each relation has a Spark and an SQL form that give the same rows.
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder for files that a query writes in order to read them: in the one that the cluster shares, else,
+    on one machine, in its own temporary folder, which goes at exit."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        base = tempfile.mkdtemp(prefix="fairlead-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return f"{base if '://' in base or base.startswith('file:') else f'file://{base}'}/scratch-{uuid.uuid4().hex}"
+
+
 def timed_events(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"))
 

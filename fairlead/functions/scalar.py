@@ -7,19 +7,46 @@ from datetime import date, datetime, timedelta, timezone
 from functools import reduce
 from zoneinfo import ZoneInfo
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import DATE_SLACK, EARTH_KM
+from ..schemas import DATE_SLACK, EARTH_KM, FLAG
 
 
 def number(col: Column, kind: str, lenient: bool = False) -> Column:
     """A number from text, null where it is none or out of range. The strict grammar is that of whole
-    numbers; the lenient one also takes decimals and exponents and rounds half away from zero."""
+    numbers; the lenient one also takes decimals and exponents, rounded half away from zero, digits parted by
+    single underscores, and hexadecimal numbers after 0x."""
     whole = col.try_cast(kind)
     if not lenient:
         return whole
-    return F.coalesce(whole, F.round(col.try_cast("decimal(38,10)")).try_cast(kind))
+    text = F.trim(col)
+    parted = F.when(text.rlike("^[+-]?[0-9]+(_[0-9]+)+$"), F.replace(text, F.lit("_"), F.lit(""))).otherwise(text)
+    sixteen = F.when(text.rlike("^0[xX][0-9A-Fa-f]{1,15}$"), F.conv(F.substr(text, F.lit(3)), 16, 10).try_cast(kind))
+    return F.coalesce(whole, F.round(parted.try_cast("decimal(38,10)")).try_cast(kind), sixteen)
+
+
+def repaired_text(col: Column) -> Column:
+    """struct<text, flag> of a text field's bytes: UTF-8 where it is that, else GB18030 with that flag, else UTF-8 with
+    marks for what cannot be read and the flag of invalid text. Blanks around it and the padding at its end go; what
+    is then empty is null. Only bytes that are not UTF-8 go through Python."""
+    @F.pandas_udf("string")
+    def chinese(values: pd.Series) -> pd.Series:
+        def read(b):
+            try:
+                return None if b is None else bytes(b).decode("gb18030")
+            except UnicodeDecodeError:
+                return None
+
+        return values.map(read)
+
+    good = F.is_valid_utf8(col.cast("string"))
+    other = chinese(F.when(~good, col))
+    bare = lambda text: F.nullif(F.trim(F.rtrim(F.trim(text), F.lit("@"))), F.lit(""))
+    flag = F.when(good | col.isNull(), 0).when(other.isNotNull(), FLAG["text_gb18030"]).otherwise(FLAG["text_invalid_encoding"])
+    text = F.when(good, bare(col.cast("string"))).when(other.isNotNull(), bare(other)).otherwise(F.make_valid_utf8(col.cast("string")))
+    return F.struct(text.alias("text"), flag.cast("long").alias("flag"))
 
 
 def flags(*terms: tuple[Column, int]) -> Column:

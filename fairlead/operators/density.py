@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,10 +13,16 @@ RADIUS_KM, FALLBACK, PRESSURE = 75.0, 1025.0, 0.0
 SALINITY, SST, DENSITY = (0.0, 50.0), (-5.0, 47.0), (990.0, 1050.0)
 
 
+def accepted(events: DataFrame) -> DataFrame:
+    """The accepted events as they are."""
+    return events.where(F.col("event_status") == "accepted")
+
+
 def accepted_events(events: DataFrame) -> DataFrame:
-    """The accepted events. Their ids must be there and unique, their times there and in order; else ValueError.
-    Rejected events are not looked at."""
-    own = events.where(F.col("event_status") == "accepted")
+    """The accepted events, past the gate: ids must be there and unique, times there and in order; else ValueError.
+    Rejected events are not looked at. The gate is one pass over the events, at once; a stage calls it before it
+    plans any work on them, and `accepted` where they were checked before."""
+    own = accepted(events)
     wrong = own.agg(
         F.count_if(F.col("event_id").isNull() | (F.trim("event_id") == "")).alias("empty ids"), (F.count("event_id") - F.count_distinct("event_id")).alias("repeated ids"),
         F.count_if(F.col("event_start_s").isNull() | F.col("event_end_s").isNull()).alias("missing times"), F.count_if(F.col("event_end_s") <= F.col("event_start_s")).alias("ends not after starts"),
@@ -32,8 +39,6 @@ def teos10(salinity: Column, temperature: Column, lon: Column, lat: Column, pres
         import gsw  # noqa: F401
     except ImportError as error:
         raise RuntimeError("TEOS-10 densities need the gsw library") from error
-    import pandas as pd
-
     @F.pandas_udf("double")
     def rho(sp: pd.Series, t: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
         import gsw

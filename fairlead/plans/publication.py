@@ -9,15 +9,19 @@ from __future__ import annotations
 import os
 import shutil
 import time
+from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import density as ops
 from ..operators.quality import validate_density
-from ..sources.tables import read_events, read_grid
+from ..sources.tables import netcdf_grid, read_events, read_grid
+from . import sources_gate as gate
 from .artifacts import StageConflict, VERSION, canonical_hash, read_json, same, signature, write_json
 
+NETCDF = (".nc", ".nc4")  # ends of the names of NetCDF files
+
 
 def _remove(p: Path) -> None:
     shutil.rmtree(p, ignore_errors=True) if p.is_dir() else p.unlink(missing_ok=True)
@@ -115,8 +119,8 @@ def reject_overlap(target: Path, inputs: list[Path], event_folder: Path) -> None
 def run_density(spark: SparkSession, config: dict, force: bool = False, dry_run: bool = False, kernel=ops.teos10, method: str = "teos10") -> dict:
     """Densities of all accepted events, published with their manifest; skipped when nothing has changed.
 
-    Grids are long-form Parquet (month, lat, lon, value): `era5_files` by calendar month, `woa23_monthly_files` one
-    file for each natural month.
+    Grids are long-form Parquet (month, lat, lon, value) or NetCDF, by the files' names: `era5_files` by calendar
+    month, `woa23_monthly_files` one file for each natural month. NetCDF files must all be what they are meant to be.
     """
     target = Path(config["output_root"]) / "event_seawater_density.parquet"
     events = Path(config["events_path"])
@@ -135,16 +139,13 @@ def run_density(spark: SparkSession, config: dict, force: bool = False, dry_run:
     started = time.perf_counter()
     accepted = ops.accepted_events(read_events(spark, str(events)))
     expected = accepted.count()
-    salinity, sst = (None, None)
-    for f in config["woa23_monthly_files"].values():
-        part = read_grid(spark, f)
-        salinity = part if salinity is None else salinity.unionByName(part)
-    for f in config["era5_files"]:
-        part = read_grid(spark, f)
-        sst = part if sst is None else sst.unionByName(part)
-    from .sources_gate import check_grids
-
-    check_grids(salinity, sst, accepted)
+    woa, era = config["woa23_monthly_files"], config["era5_files"]
+    if any(f.endswith(NETCDF) for f in (*woa.values(), *era)):
+        gate.check_temperature_files({f: gate.described(f) for f in era})
+        gate.check_salinity_files({m: gate.described(f) for m, f in woa.items()})
+    united = lambda files, variable: reduce(DataFrame.unionByName, (netcdf_grid(spark, f, variable) if f.endswith(NETCDF) else read_grid(spark, f) for f in files))
+    salinity, sst = united(woa.values(), "s_an"), united(era, "sst")
+    gate.check_grids(salinity, sst, accepted)
     out = ops.event_density(accepted, salinity, sst, kernel, method)
     ordered = out.repartitionByRange("event_id").sortWithinPartitions("event_id")
     own = {method} - {"teos10"}
