@@ -35,7 +35,7 @@ def scratch(spark: SparkSession) -> str:
 
 
 def timed_events(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"))
+    return table(spark, sf_dir, "events").selectExpr("event_id", "user_id", "event_type", "unix_seconds(CAST(ts AS TIMESTAMP)) AS t")
 
 
 TIMED = "(SELECT event_id, user_id, event_type, epoch_us(ts) // 1000000 AS t FROM events)"
@@ -43,18 +43,15 @@ TIMED = "(SELECT event_id, user_id, event_type, epoch_us(ts) // 1000000 AS t FRO
 
 def raw_lines(spark, sf_dir) -> DataFrame:
     """Position lines with all kinds of faults."""
-    e = timed_events(spark, sf_dir)
-    i = F.col("event_id")
-    kind = F.element_at(F.array(*map(F.lit, (1, 1, 1, 2, 3, 9))), (i % 6 + 1).cast("int"))
     fields = [
-        kind, F.when(i % 53 == 0, 0).otherwise(F.col("user_id")), F.col("t") + i % 900 - 500, i % 7, 1 + i % 27, F.col("t"),
-        (i * 7919 * 1000) % 217_400_000 - 108_700_000, (i * 104_729) % 109_400_000 - 54_700_000, i % 3700, i % 1100, i % 520, i % 18, i % 300 - 150, i % 4,
+        "element_at(array(1, 1, 1, 2, 3, 9), int(event_id % 6) + 1)", "if(event_id % 53 = 0, 0, user_id)", "t + event_id % 900 - 500", "event_id % 7", "1 + event_id % 27", "t",
+        "(event_id * 7919 * 1000) % 217400000 - 108700000", "(event_id * 104729) % 109400000 - 54700000", "event_id % 3700", "event_id % 1100", "event_id % 520", "event_id % 18", "event_id % 300 - 150", "event_id % 4",
     ]
-    line = F.concat_ws("~", *(F.when(i % 41 == n, F.lit("")).otherwise(f.cast("string")) if n in (2, 6, 9) else f.cast("string") for n, f in enumerate(fields)))
-    line = F.when(i % 97 == 0, F.concat(F.lit("x"), line)).otherwise(line)
-    return e.select(line.alias("value"), F.lit("2024-01-15").alias("record_date"), F.lit("POS_OK_2024-01-15.dat").alias("source_file"), i.alias("line_number"))
+    texts = [f"if(event_id % 41 = {n}, '', string({f}))" if n in (2, 6, 9) else f"string({f})" for n, f in enumerate(fields)]
+    return timed_events(spark, sf_dir).selectExpr(f"if(event_id % 97 = 0, 'x', '') || concat_ws('~', {', '.join(texts)}) AS value", *FILE, "event_id AS line_number")
 
 
+FILE = ["'2024-01-15' AS record_date", "'POS_OK_2024-01-15.dat' AS source_file"]
 RAW_LINES = f"""(SELECT CASE WHEN event_id % 97 = 0 THEN 'x' ELSE '' END || concat_ws('~', [1,1,1,2,3,9][event_id % 6 + 1]::VARCHAR,
   (CASE WHEN event_id % 53 = 0 THEN 0 ELSE user_id END)::VARCHAR, CASE WHEN event_id % 41 = 2 THEN '' ELSE (t + event_id % 900 - 500)::VARCHAR END, (event_id % 7)::VARCHAR,
   (1 + event_id % 27)::VARCHAR, t::VARCHAR, CASE WHEN event_id % 41 = 6 THEN '' ELSE ((event_id * 7919 * 1000) % 217400000 - 108700000)::VARCHAR END,
@@ -64,18 +61,17 @@ RAW_LINES = f"""(SELECT CASE WHEN event_id % 97 = 0 THEN 'x' ELSE '' END || conc
 
 def static_lines(spark, sf_dir) -> DataFrame:
     """Static message lines of all kinds, from orders."""
-    o = table(spark, sf_dir, "orders")
-    k = F.col("o_orderkey")
-    message = F.element_at(F.array(*map(F.lit, ("5", "5", "19", "21", "24A", "24B", "7"))), (k % 7 + 1).cast("int"))
-    received = F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + F.when(k % 97 == 0, 0).otherwise(STATIC_SHIFT)
-    name = F.when(k % 5 == 0, "").otherwise(F.concat("o_orderpriority", F.lit("@@")))
-    kind = (70 + k % 20).cast("string")
-    five = [k % 9_999_999, F.concat(F.lit("CS"), (k % 1000).cast("string"), F.lit("@")), name, kind, k % 400, k % 90, k % 40, k % 41, k % 18, F.lit("03021200"), k % 300, "o_orderstatus", k % 3]
-    other = [kind, F.lit("VENDOR@"), F.concat(F.lit("C"), (k % 100).cast("string")), k % 400, k % 90, k % 40, k % 41, k % 20, k % 2]
-    text = lambda fields: F.concat_ws("~", *(f if isinstance(f, str) else f.cast("string") for f in fields))
-    tail = F.when(message == "5", text(five)).when(message == "24A", name).when(message == "19", text([name, *[other[0], *other[3:]]])).otherwise(text(other))
-    line = text([F.when(k % 31 == 0, 2).otherwise(1), F.when(k % 43 == 0, 0).otherwise(F.col("o_custkey")), received, k % 4, message, tail])
-    return o.select(line.alias("value"), F.lit("STA_OK.dat").alias("source_file"), F.lit(None).cast("string").alias("record_date"), k.alias("line_number"))
+    o = table(spark, sf_dir, "orders").selectExpr(
+        "*", "o_orderkey AS k", "element_at(array('5', '5', '19', '21', '24A', '24B', '7'), int(o_orderkey % 7) + 1) AS message", "string(70 + o_orderkey % 20) AS kind",
+        "if(o_orderkey % 5 = 0, '', o_orderpriority || '@@') AS name", f"unix_seconds(CAST(o_orderdate AS TIMESTAMP)) + if(o_orderkey % 97 = 0, 0, {STATIC_SHIFT}) AS received",
+    )
+    joined = lambda *fields: f"concat_ws('~', {', '.join(f'string({f})' for f in fields)})"
+    size = ["k % 400", "k % 90", "k % 40", "k % 41"]
+    five = joined("k % 9999999", "'CS' || k % 1000 || '@'", "name", "kind", *size, "k % 18", "'03021200'", "k % 300", "o_orderstatus", "k % 3")
+    other = joined("kind", "'VENDOR@'", "'C' || k % 100", *size, "k % 20", "k % 2")
+    tail = f"CASE message WHEN '5' THEN {five} WHEN '24A' THEN name WHEN '19' THEN {joined('name', 'kind', *size, 'k % 20', 'k % 2')} ELSE {other} END"
+    line = joined("if(k % 31 = 0, 2, 1)", "if(k % 43 = 0, 0, o_custkey)", "received", "k % 4", "message", tail)
+    return o.selectExpr(f"{line} AS value", "'STA_OK.dat' AS source_file", "CAST(NULL AS STRING) AS record_date", "k AS line_number")
 
 
 _FIVE = "(o_orderkey % 9999999)::VARCHAR, 'CS' || (o_orderkey % 1000)::VARCHAR || '@', nm, kind, (o_orderkey % 400)::VARCHAR, (o_orderkey % 90)::VARCHAR, (o_orderkey % 40)::VARCHAR, (o_orderkey % 41)::VARCHAR, (o_orderkey % 18)::VARCHAR, '03021200', (o_orderkey % 300)::VARCHAR, o_orderstatus, (o_orderkey % 3)::VARCHAR"
@@ -90,10 +86,11 @@ STATIC_LINES = f"""(SELECT concat_ws('~', CASE WHEN o_orderkey % 31 = 0 THEN '2'
 
 def clean_lines(spark, sf_dir) -> DataFrame:
     """Position lines without faults but for a few, so that tracks can be sampled."""
-    e = timed_events(spark, sf_dir)
-    i = F.col("event_id")
-    fields = [F.lit(1), F.col("user_id"), F.col("t") + i % 200, i % 7, F.lit(1), F.col("t"), F.when(i % 89 == 0, 0).otherwise((i * 7919 * 1000) % 216_000_000 - 108_000_000), F.when(i % 89 == 0, 0).otherwise((i * 104_729) % 108_000_000 - 54_000_000), i % 3600, i % 1000, i % 360, i % 16, F.lit(0), i % 2]
-    return e.select(F.concat_ws("~", *(f.cast("string") for f in fields)).alias("value"), F.lit("2024-01-15").alias("record_date"), F.lit("POS_OK_2024-01-15.dat").alias("source_file"), i.alias("line_number"))
+    fields = [
+        "1", "user_id", "t + event_id % 200", "event_id % 7", "1", "t", "if(event_id % 89 = 0, 0, (event_id * 7919 * 1000) % 216000000 - 108000000)", "if(event_id % 89 = 0, 0, (event_id * 104729) % 108000000 - 54000000)",
+        "event_id % 3600", "event_id % 1000", "event_id % 360", "event_id % 16", "0", "event_id % 2",
+    ]
+    return timed_events(spark, sf_dir).selectExpr(f"concat_ws('~', {', '.join(f'string({f})' for f in fields)}) AS value", *FILE, "event_id AS line_number")
 
 
 CLEAN = f"""(SELECT 1::TINYINT AS comm_type, user_id::INTEGER AS mmsi, t + event_id % 200 AS receive_time_s, (event_id % 7)::SMALLINT AS source_id, t AS pos_time_s,

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from datetime import date, datetime, timedelta, timezone
-from functools import reduce
 from zoneinfo import ZoneInfo
 
 import pandas as pd
@@ -14,17 +13,21 @@ from pyspark.sql import functions as F
 from ..schemas import DATE_SLACK, EARTH_KM, FLAG
 
 
-def number(col: Column, kind: str, lenient: bool = False) -> Column:
-    """A number from text, null where it is none or out of range. The strict grammar is that of whole
+# Expressions over many columns are SQL text: it reaches the planner in one call, where each step of a Column is a call
+# of its own, which for a record of forty fields takes longer than to read some ten thousand of them.
+
+
+def number(column: str, kind: str, lenient: bool = False) -> str:
+    """SQL of a number from text, null where it is none or out of range. The strict grammar is that of whole
     numbers; the lenient one also takes decimals and exponents, rounded half away from zero, digits parted by
     single underscores, and hexadecimal numbers after 0x."""
-    whole = col.try_cast(kind)
+    whole = f"try_cast({column} AS {kind})"
     if not lenient:
         return whole
-    text = F.trim(col)
-    parted = F.when(text.rlike("^[+-]?[0-9]+(_[0-9]+)+$"), F.replace(text, F.lit("_"), F.lit(""))).otherwise(text)
-    sixteen = F.when(text.rlike("^0[xX][0-9A-Fa-f]{1,15}$"), F.conv(F.substr(text, F.lit(3)), 16, 10).try_cast(kind))
-    return F.coalesce(whole, F.round(parted.try_cast("decimal(38,10)")).try_cast(kind), sixteen)
+    text = f"trim({column})"
+    parted = f"if({text} RLIKE '^[+-]?[0-9]+(_[0-9]+)+$', replace({text}, '_', ''), {text})"
+    sixteen = f"if({text} RLIKE '^0[xX][0-9A-Fa-f]{{1,15}}$', conv(substr({text}, 3), 16, 10), NULL)"
+    return f"coalesce({whole}, try_cast(round(try_cast({parted} AS DECIMAL(38, 10))) AS {kind}), try_cast({sixteen} AS {kind}))"
 
 
 def repaired_text(col: Column) -> Column:
@@ -49,24 +52,24 @@ def repaired_text(col: Column) -> Column:
     return F.struct(text.alias("text"), flag.cast("long").alias("flag"))
 
 
-def flags(*terms: tuple[Column, int]) -> Column:
-    """A bit mask of the terms that hold; a null condition raises no flag."""
-    return reduce(lambda a, b: a.bitwiseOR(b), (F.when(cond, F.lit(bit)).otherwise(0).cast("long") for cond, bit in terms))
+def flags(terms: list[tuple[str, int]]) -> str:
+    """SQL of a bit mask of the conditions that hold; one that is null raises no flag."""
+    return " | ".join(f"if({condition}, {bit}L, 0L)" for condition, bit in terms)
 
 
-def outside(col: Column, low, high) -> Column:
-    return ~col.between(low, high)
+def outside(value: str, low, high) -> str:
+    return f"{value} NOT BETWEEN {low} AND {high}"
 
 
-def unpadded(col: Column) -> Column:
-    """Text without the padding of at signs at its end."""
-    return F.rtrim(col, F.lit("@"))
+def unpadded(column: str) -> str:
+    """SQL of a text without the padding of at signs at its end."""
+    return f"rtrim('@', {column})"
 
 
 def fenced(df: DataFrame) -> DataFrame:
     """The same rows, with columns that later filters and projections take as they are. The planner would
     else write a column's whole expression into every place that uses it, and parse a line many times."""
-    return df.select(F.inline(F.array(F.struct(*df.columns))))
+    return df.selectExpr(f"inline(array(struct({', '.join(f'`{c}`' for c in df.columns)})))")
 
 
 def file_date(name: str) -> str | None:

@@ -24,8 +24,9 @@ def file_kind(name: str) -> str:
 def split_fields(lines: DataFrame, line_col: str = "value") -> DataFrame:
     """Forty text columns of each line: short lines padded with nulls, further fields cut off, empty fields null."""
     rest = [c for c in lines.columns if c != line_col]
-    parts = lines.select(*rest, F.transform(F.split(F.col(line_col), "~", -1), lambda x: F.nullif(x, F.lit(""))).alias("_fields"))
-    return fenced(parts).select(*rest, *(F.get("_fields", F.lit(i)).alias(c) for i, c in enumerate(RAW_COLUMNS)))
+    own = [f"`{c}`" for c in rest]
+    parts = lines.selectExpr(*own, f"transform(split(`{line_col}`, '~', -1), x -> nullif(x, '')) AS _fields")
+    return fenced(parts).selectExpr(*own, *(f"get(_fields, {i}) AS {c}" for i, c in enumerate(RAW_COLUMNS)))
 
 
 def read_dat(spark: SparkSession, path: str, record_date: str | None = None) -> DataFrame:
