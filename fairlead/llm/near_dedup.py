@@ -30,6 +30,7 @@ M, ROWS = 128, 4  # registers, and of a band; a link at 0.85 is missed in one of
 LOG_BASE, RATE, TOP = np.log1p(0.001), 20.0, 65_534
 SLACK = 0.2  # the likelihood's estimate may be that much below the similarity (5 standard errors and more)
 MINOR = MAJOR = 640  # members of a bucket in a block, of either side
+PARTNERS = 160  # of a hub in a block: few, for a hub's set is one row more in each
 WEIGHT = 1 << 20  # shingles of either side of a block, about (but for a set that has more)
 NULL_ID = 1 << 62  # sorts after all ids and stands for a null one
 
@@ -326,7 +327,7 @@ def _links(source: DataFrame, classes: DataFrame, pairs: DataFrame, similarity:
     connect. A hub `a` meets its partners in blocks, with its set once in each."""
     sets = _class_sets(source, classes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{path}-sets")
     hubs = pairs.groupBy("a").agg(F.count("*").alias("size"), F.sum("nb").alias("weight"))
-    hubs = written(hubs.select("a", _shares(F.col("size"), F.col("weight"), MAJOR).alias("chunks")), f"{path}-hubs")
+    hubs = written(hubs.select("a", _shares(F.col("size"), F.col("weight"), PARTNERS).alias("chunks")), f"{path}-hubs")
     block = lambda chunk: F.struct("a", chunk.alias("chunk")).alias("block")
     one = hubs.select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("c")).select(block(F.col("c")), F.col("a").alias("node"), F.lit(0).alias("side"))
     other = pairs.join(hubs, "a").select(block(F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int")), F.col("b").alias("node"), F.lit(1).alias("side"))
