@@ -32,12 +32,12 @@ from pyspark.sql import functions as F
 
 from .shared import filesystem, shared_dir, written
 
-NEIGHBOURS = 24  # of a node in the graph
-REVERSE = 24  # reverse neighbours that take part in a join and in the search
+NEIGHBOURS = 32  # of a node in the graph
+REVERSE = 32  # reverse neighbours that take part in a join and in the search
 OFFERS = 5  # partners that one join offers to a node at most
 TABLES, BLOCK = 4, 256  # random-projection orders for the start, nodes of a block
-ENOUGH = 0.02  # share of new edges below which the descent ends
-BEAM, EXPAND, POOL = 8, 32, 1.5  # nearest nodes that are expanded, for each doubling of the nodes; at once; found ones kept, of the beam
+ENOUGH = 0.01  # share of new edges below which the descent ends
+BEAM, EXPAND, POOL = 20, 32, 1.5  # nearest nodes that are expanded, for each doubling of the nodes; at once; found ones kept, of the beam
 BROADCAST = 64 << 20  # bytes of rounded vectors up to which they are broadcast
 SHARD = 64 << 20  # bytes of graph and rounded vectors that a searching task holds
 OFFERED = 400_000  # offers that a task combines before it hands them on
