@@ -20,6 +20,7 @@ from fairlead.llm.shared import release, shared_dir, workspace, written
 
 SIMILARITY = 80  # percent, of near copies
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+WORDS = 1 << 20  # words of 64 rows that each executor may be sent, some 64 MB
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -43,19 +44,32 @@ def decided(spark: SparkSession, label: str, decide: Callable[[], DataFrame]) ->
         return written(decide().withColumnRenamed("row", "_row"), path)
 
 
+def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The numbered rows whose numbers are in `kept`, without the numbers. They are sent to all tasks as bits of
+    words while these, counted first, are no more than WORDS, and texts stay where they are; beyond that, rows
+    and numbers are joined by shuffle."""
+    spark = docs.sparkSession
+    word, bit = F.shiftright("_row", 6).alias("_word"), F.expr("cast(_row & 63 as int)")
+    bits = F.expr("bit_or(shiftleft(1L, cast(_row & 63 as int)))").alias("_bits")
+    words = written(kept.groupBy(word).agg(bits), f"{shared_dir(spark, 'pipeline')}/words")
+    if words.count() > WORDS:
+        return docs.join(kept, "_row", "left_semi").select(COLUMNS)
+    return docs.withColumn("_word", word).join(F.broadcast(words), "_word").where(F.getbit("_bits", bit) == 1).select(COLUMNS)
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose predicted quality is 1; the labels of the corpus train the classifier."""
     docs = numbered(docs)
     labels = table(spark, sf_dir, "labels")
     kept = decided(spark, "quality", lambda: quality.classify(docs, labels, row_col="_row").where("predicted = 1").select("row"))
-    return docs.join(kept, "_row", "left_semi").select(COLUMNS)
+    return only(docs, kept)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts: the longest, then that with the smallest id."""
     docs = numbered(docs)
     kept = decided(spark, "copies", lambda: exact_dedup.exact_dedup(docs, row_col="_row").where("kept").select("row"))
-    return docs.join(kept, "_row", "left_semi").select(COLUMNS)
+    return only(docs, kept)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +77,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     five words: that with the smallest id. Documents without words link with nothing and stay."""
     docs = numbered(docs)
     kept = decided(spark, "near-copies", lambda: near_dedup.near_duplicates(docs, similarity=SIMILARITY, row_col="_row").where("stays").select("row"))
-    return docs.join(kept, "_row", "left_semi").select(COLUMNS)
+    return only(docs, kept)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
