@@ -89,3 +89,15 @@ def test_odd_and_empty_tables_pass_every_stage(spark, odd, none):
         for n, (_, stage) in enumerate(cp.STAGES):
             docs = written(stage(spark, docs, SF), f"{folder}/{n}")
         docs.count()
+
+
+@pytest.mark.parametrize("words", [0, cp.WORDS])
+def test_rows_kept_are_those_of_their_numbers_within_the_bound_and_beyond(spark, monkeypatch, words):
+    monkeypatch.setattr(cp, "WORDS", words)
+    path = f"{shared_dir(spark, 'bits-test')}/docs"
+    for n in (1, 63, 64, 65, 300):
+        spark.range(n).selectExpr("id + %d AS doc_id" % (1000 * n), "string(id) AS text", "'en' AS lang", "'a' AS source", "id AS n_chars").coalesce(1).write.mode("append").parquet(path)
+    docs = cp.numbered(spark.read.parquet(path))
+    for rule in ("true", "false", "doc_id % 64 in (0, 62, 63)", "doc_id % 7 = 3"):
+        want = sorted(r["doc_id"] for r in docs.where(rule).collect())
+        assert sorted(r["doc_id"] for r in cp.only(docs, docs.where(rule).select("_row")).collect()) == want
